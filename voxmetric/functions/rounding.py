@@ -30,8 +30,3 @@ def rounded_ratio(num: Column, den: Column, digits: int) -> Column:
 def hundredths(col: Column) -> Column:
     """A two-decimal value as an exact bigint count of hundredths."""
     return (col.cast("decimal(20,2)") * F.lit(100).cast("decimal(3,0)")).cast("bigint")
-
-
-def rounded_units(units: Column, unit_digits: int, digits: int) -> Column:
-    """Round an integer counted in ``10^-unit_digits`` to ``digits`` decimals."""
-    return rounded_ratio(units, F.lit(10**unit_digits), digits)
