@@ -51,12 +51,14 @@ def score(col: Column) -> Column:
     return F.when(whole.between(0, 10), whole)
 
 
-def parse_date(col: Column) -> Column:
+def parse_date(col: Column, *, month_first: bool = False) -> Column:
     """Date text in any accepted layout, else NULL."""
     text = strip(col.cast("string"), SPACE_WITH_CONTROLS)
+    day_first, us_style, *others = DATE_LAYOUTS
+    head = [us_style, day_first] if month_first else [day_first, us_style]
     attempts = [
         F.when(text.rlike(shape), F.try_to_date(text, layout))
-        for shape, layout in DATE_LAYOUTS
+        for shape, layout in [*head, *others]
     ]
     stamp = F.when(text.rlike(_ISO_STAMP), F.try_to_date(F.substring(text, 1, 10)))
     return F.coalesce(*attempts, stamp)

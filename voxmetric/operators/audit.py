@@ -57,7 +57,12 @@ def audit_inputs(
             F.avg(completion_col) if completion_col else F.lit(None).cast("double")
         ).alias("completion_time"),
     )
-    stability = weekly_stability(responses, as_of=as_of, date_col=date_col)
+    # One struct per scalar subquery: its fields share a single execution.
+    stability = (
+        weekly_stability(responses, as_of=as_of, date_col=date_col)
+        .select(F.struct("wow_stddev", "total_n"))
+        .scalar()
+    )
     fatigued: Column = F.lit(None).cast("bigint")
     if user_col:
         fatigued = (
@@ -79,8 +84,8 @@ def audit_inputs(
         month.agg(F.count(F.lit(1))).scalar().alias("responses_30d"),
         F.lit(invites).cast("bigint").alias("invites"),
         fatigued.alias("fatigued_users"),
-        stability.select("wow_stddev").scalar().alias("wow_stddev"),
-        stability.select("total_n").scalar().alias("stability_n"),
+        stability["wow_stddev"].alias("wow_stddev"),
+        stability["total_n"].alias("stability_n"),
         low_segments.alias("low_segments"),
         F.lit(have_events).alias("have_events"),
         (F.lit(have_devices) & F.lit(have_locales)).alias("have_device_locale"),

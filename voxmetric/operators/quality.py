@@ -36,14 +36,16 @@ def data_coverage(
 
 def enrichment_coverage(responses: DataFrame, enrichment: DataFrame) -> DataFrame:
     """Totals, commented, enriched, share and the last enrichment time."""
-    side = enrichment.agg(
-        F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last")
+    side = (
+        enrichment.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last"))
+        .select(F.struct("n", "last"))
+        .scalar()
     )
     totals = responses.agg(
         F.count(F.lit(1)).alias("total_responses"),
         F.count_if(has_comment(F.col("nps_explanation"))).alias("responses_with_comments"),
     )
-    enriched = side.select("n").scalar()
+    enriched = side["n"]
     return totals.select(
         "total_responses",
         "responses_with_comments",
@@ -51,7 +53,7 @@ def enrichment_coverage(responses: DataFrame, enrichment: DataFrame) -> DataFram
         scores.percent(enriched, F.col("responses_with_comments"), 0).alias(
             "enrichment_percentage"
         ),
-        side.select("last").scalar().alias("last_run"),
+        side["last"].alias("last_run"),
     )
 
 
@@ -91,14 +93,18 @@ def enrichment_stats(responses: DataFrame, enrichment: DataFrame) -> DataFrame:
         F.count("sentiment_score").alias("mood_count"),
         F.max("created_at").alias("last_enrichment"),
     )
-    base = responses.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(has_comment(F.col("nps_explanation"))).alias("commented"),
+    base = (
+        responses.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(has_comment(F.col("nps_explanation"))).alias("commented"),
+        )
+        .select(F.struct("n", "commented"))
+        .scalar()
     )
     names = enrichment.select(F.explode("themes").alias("t")).distinct().agg(
         F.count("t")
     )
-    n, commented = base.select("n").scalar(), base.select("commented").scalar()
+    n, commented = base["n"], base["commented"]
     return side.select(
         n.alias("total_responses"),
         "enriched_responses",
