@@ -18,7 +18,11 @@ from .text import top_words_per_question
 from .themes import theme_hits
 
 _UNITS = 10_000  # sentiment scores are summed in steps of 10^-4
-_ORDER = [F.asc("row_number"), F.asc("question_order")]
+
+
+def _in_order() -> list[Column]:
+    """Reading order of the answers of a survey."""
+    return [F.asc("row_number"), F.asc("question_order")]
 
 
 def validated(answers: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def theme_records(answers: DataFrame, *, samples: int = 3) -> DataFrame:
     first = (
         top_per_group(
             rows.select("survey_id", "theme", "row_number", "question_order", "response_text"),
-            ["survey_id", "theme"], _ORDER, samples,
+            ["survey_id", "theme"], _in_order(), samples,
         )
         .groupBy("survey_id", "theme")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "response_text"))).alias("s"))
@@ -189,7 +193,7 @@ def theme_insights(answers: DataFrame, *, k: int = 5) -> DataFrame:
         .join(top.select("survey_id", "theme"), ["survey_id", "theme"])
         .select("survey_id", "theme", "row_number", "question_order", "quote", F.explode(F.sequence(F.lit(1), "hits")).alias("copy"))
     )
-    order = [*_ORDER, F.asc("copy")]
+    order = [*_in_order(), F.asc("copy")]
     repeats = top_per_group(quotes, ["survey_id", "theme", "quote"], order, most).drop("rank")
     candidates = top_per_group(
         repeats, ["survey_id", "theme"], order, most + most * most * (k - 1)
@@ -275,7 +279,7 @@ def _first_quotes(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     mooded = rows.filter(F.col("sentiment_label").isin("positive", "negative")).select(
         *keys, "sentiment_label", "row_number", "question_order", "response_text"
     )
-    picked = top_per_group(mooded, [*keys, "sentiment_label"], _ORDER, k)
+    picked = top_per_group(mooded, [*keys, "sentiment_label"], _in_order(), k)
 
     def texts(label: str) -> Column:
         cond = F.col("sentiment_label") == label
@@ -537,7 +541,7 @@ def detail_answers(answers: DataFrame, *, k: int = 10) -> DataFrame:
     """First sample answers of each survey with defaults for missing analyses."""
     a = F.col("ai_analysis")
     mood = a["sentiment_score"]
-    picked = top_per_group(answers, ["survey_id"], _ORDER, k)
+    picked = top_per_group(answers, ["survey_id"], _in_order(), k)
     return picked.select(
         "survey_id",
         "row_number",
