@@ -1,7 +1,7 @@
 """All catalogue entries."""
 
 from . import (  # noqa: F401
-    nps,
+    nps, themes,
 )
 from .base import ENTRIES, Tables
 
