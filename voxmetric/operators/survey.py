@@ -56,7 +56,10 @@ def answer_themes(answers: DataFrame) -> DataFrame:
         "response_text",
         "sentiment_label",
         F.round(F.col("sentiment_score") * _UNITS).cast("bigint").alias("units"),
-        F.inline(theme_hits(F.col("themes"), cleaning.theme_display_name)),
+        F.transform("themes", cleaning.theme_display_name).alias("named"),
+    ).select(
+        "survey_id", "row_number", "question_text", "question_order", "response_text",
+        "sentiment_label", "units", F.inline(theme_hits(F.col("named"))),
     )
 
 

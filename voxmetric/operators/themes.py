@@ -9,7 +9,7 @@ of mentions, both with map-side partial aggregation and no distinct shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,13 +42,13 @@ def canonical_theme(col: Column, synonyms: Synonyms = ref.SYNONYM_GROUPS) -> Col
     return key if branches is None else branches.otherwise(key)
 
 
-def theme_hits(themes: Column, name: Callable[[Column], Column]) -> Column:
+def theme_hits(named: Column) -> Column:
     """Array of (theme, hits, lead): distinct themes of a response, mention counts.
 
     ``lead`` marks one row per response, so responses with any theme can be
-    counted later without a distinct.
+    counted later without a distinct. ``named`` should be a plain column: it
+    is read once per distinct theme.
     """
-    named = F.transform(themes, name)
     return F.transform(
         F.array_distinct(named),
         lambda t, i: F.struct(
@@ -82,7 +82,9 @@ def assignments(
         rows = rows.filter(F.exists("themes", lambda t: name(t) == theme))
     extra = [c for c in ("sentiment_score", "sentiment_label", "processing_status")
              if c in enrichment.columns]
-    packed = rows.select("response_id", *extra, theme_hits(F.col("themes"), name).alias("packed"))
+    packed = rows.select(
+        "response_id", *extra, F.transform("themes", name).alias("named")
+    ).select("response_id", *extra, theme_hits(F.col("named")).alias("packed"))
     keep = [c for c in (*RESPONSE_COLUMNS, "nps_explanation") if c in responses.columns]
     joined = packed.join(
         responses.select(F.col("id").alias("response_id"), *keep), "response_id"
@@ -105,11 +107,11 @@ def assignments_with_dictionary(
     extra = [c for c in ("sentiment_score", "sentiment_label", "processing_status")
              if c in enrichment.columns]
     exploded = enrichment.select(
+        "response_id", *extra, F.transform("themes", cleaning.theme_key).alias("named")
+    ).select(
         "response_id",
         *extra,
-        F.inline(theme_hits(F.col("themes"), cleaning.theme_key)).alias(
-            "theme_key", "hits", "lead"
-        ),
+        F.inline(theme_hits(F.col("named"))).alias("theme_key", "hits", "lead"),
     )
     named = lookup_join(exploded, dictionary, "theme_key", F.col("response_id")).select(
         "response_id",

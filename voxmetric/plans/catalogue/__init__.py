@@ -1,7 +1,7 @@
 """All catalogue entries."""
 
 from . import (  # noqa: F401
-    nps, themes,
+    mapping, nps, themes, trends,
 )
 from .base import ENTRIES, Tables
 
