@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scores
+from ..functions.matching import contains_any, first_label, let
 from ..functions.rounding import rounded_ratio
 from ..sources import reference_data as ref
 from .lookup import lookup_join
@@ -18,25 +19,12 @@ from .nps import top_per_group
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
 
-def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    out = None
-    for word in words:
-        hit = text.contains(word)
-        out = hit if out is None else out | hit
-    return out
-
-
 # ------------------------------------------------------- reclassification
 
 
 def rule_target(comment: Column, rules: Rules) -> Column:
     """Theme of the first rule with a keyword in the comment, else NULL."""
-    low = F.lower(comment)
-    out = None
-    for target, words in rules:
-        cond = _contains_any(low, tuple(w.lower() for w in words))
-        out = F.when(cond, target) if out is None else out.when(cond, target)
-    return out
+    return first_label(comment, rules)
 
 
 def reclassify(
@@ -77,7 +65,9 @@ def reclassify_by_summary(
     catch_all: str = ref.CATCH_ALL,
 ) -> DataFrame:
     """Replace the whole array of a catch-all row by one label on a summary keyword."""
-    hit = F.array_contains("themes", catch_all) & _contains_any(F.lower("summary"), words)
+    hit = F.array_contains("themes", catch_all) & let(
+        F.lower("summary"), lambda low: contains_any(low, words)
+    )
     return enrichment.withColumn(
         "themes", F.when(hit, F.array(F.lit(target))).otherwise(F.col("themes"))
     )
@@ -130,7 +120,6 @@ def theme_mapping(theme: Column) -> Column:
     contained in it 0.75; else a keyword family 0.8; else uncategorised 0.1.
     A missing name maps to Other / Unknown with confidence 0.
     """
-    name = F.trim(F.lower(theme))
     patterns = F.array(
         *[
             F.struct(
@@ -139,27 +128,39 @@ def theme_mapping(theme: Column) -> Column:
             for p, m, s in ref.theme_patterns()
         ]
     )
-    exact = F.try_element_at(F.filter(patterns, lambda r: r["pattern"] == name), F.lit(1))
-    partial = F.try_element_at(
-        F.filter(
+
+    def mapped(name: Column) -> Column:
+        exact = F.filter(patterns, lambda r: r["pattern"] == name)
+        partial = F.filter(
             patterns,
             lambda r: (r["pattern"] != ref.CATCH_ALL)
             & (name.contains(r["pattern"]) | r["pattern"].contains(name)),
-        ),
-        F.lit(1),
-    )
-    out = (
-        F.when(
-            theme.isNull() | (theme == ""),
-            _mapped(F.lit("Other"), F.lit("Unknown"), 0.0, "fallback"),
         )
-        .when(exact.isNotNull(), _mapped(exact["main"], exact["sub"], 0.95, "pattern"))
-        .when(partial.isNotNull(), _mapped(partial["main"], partial["sub"], 0.75, "pattern"))
-    )
-    for main, sub, words in ref.THEME_KEYWORD_FAMILIES:
-        out = out.when(
-            _contains_any(name, words), _mapped(F.lit(main), F.lit(sub), 0.8, "pattern")
+
+        def first(hits: Column, confidence: float) -> Column:
+            return _mapped(hits[0]["main"], hits[0]["sub"], confidence, "pattern")
+
+        out = F.when(
+            F.exists(patterns, lambda r: r["pattern"] == name), let(exact, lambda h: first(h, 0.95))
         )
+        rest = let(
+            partial,
+            lambda h: F.when(F.size(h) > 0, first(h, 0.75)).otherwise(_by_family(name)),
+        )
+        return out.otherwise(rest)
+
+    return F.when(
+        theme.isNull() | (theme == ""),
+        _mapped(F.lit("Other"), F.lit("Unknown"), 0.0, "fallback"),
+    ).otherwise(let(F.trim(F.lower(theme)), mapped))
+
+
+def _by_family(name: Column) -> Column:
+    out = None
+    for main, sub, words in ref.THEME_KEYWORD_FAMILIES:
+        cond = contains_any(name, words)
+        value = _mapped(F.lit(main), F.lit(sub), 0.8, "pattern")
+        out = F.when(cond, value) if out is None else out.when(cond, value)
     return out.otherwise(_mapped(F.lit("Other"), F.lit("Uncategorized"), 0.1, "fallback"))
 
 

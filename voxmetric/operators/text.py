@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cleaning
+from ..functions.matching import contains_any, let
 from ..functions.rounding import rounded_ratio
 from ..sources import reference_data as ref
 from .filters import has_comment
@@ -106,12 +107,8 @@ def theme_keywords(theme: str) -> tuple[str, ...]:
     return ref.FREQUENCY_KEYWORDS.get(theme, (theme,))
 
 
-def _mentions(comment: Column, keywords: Sequence[str]) -> Column:
-    low = F.lower(comment)
-    out = F.lit(False)
-    for word in keywords:
-        out = out | low.contains(word.lower())
-    return F.coalesce(out, F.lit(False))
+def _has_word(low: Column, keywords: Sequence[str]) -> Column:
+    return F.coalesce(contains_any(low, [k.lower() for k in keywords]), F.lit(False))
 
 
 def theme_frequency(
@@ -121,12 +118,13 @@ def theme_frequency(
 
     All themes are counted in one pass over the comments.
     """
-    totals = responses.agg(
+    found = let(
+        F.lower(column),
+        lambda low: F.array(*[_has_word(low, theme_keywords(t)) for t in themes]),
+    )
+    totals = responses.select(found.alias("found")).agg(
         F.count(F.lit(1)).alias("n"),
-        *[
-            F.count_if(_mentions(F.col(column), theme_keywords(t))).alias(f"m_{i}")
-            for i, t in enumerate(themes)
-        ],
+        *[F.count_if(F.col("found")[i]).alias(f"m_{i}") for i in range(len(themes))],
     )
     rows = F.array(
         *[
@@ -197,21 +195,25 @@ def classify_comment(
     comment: Column, taxonomy: Sequence[tuple[str, Sequence[str]]] = ref.COMMENT_TAXONOMY
 ) -> Column:
     """Labels of the taxonomy whose keywords occur in a comment; catch-all if none."""
-    hits = F.filter(
-        F.array(*[F.when(_mentions(comment, kws), label) for label, kws in taxonomy]),
-        lambda x: x.isNotNull(),
+    hits = let(
+        F.lower(comment),
+        lambda low: F.array_compact(
+            F.array(*[F.when(_has_word(low, kws), label) for label, kws in taxonomy])
+        ),
+    )
+    return let(
+        hits, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.lit(ref.CATCH_ALL)))
     )
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(ref.CATCH_ALL)))
 
 
 def matched_keywords(
     comment: Column, taxonomy: Sequence[tuple[str, Sequence[str]]] = ref.COMMENT_TAXONOMY
 ) -> Column:
     """Taxonomy keywords that occur in a comment."""
-    low = F.lower(comment)
     kws = dict.fromkeys(k for _, group in taxonomy for k in group)
-    return F.filter(
-        F.array(*[F.when(low.contains(k), k) for k in kws]), lambda x: x.isNotNull()
+    return let(
+        F.lower(comment),
+        lambda low: F.array_compact(F.array(*[F.when(low.contains(k), k) for k in kws])),
     )
 
 

@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cleaning, scores
+from ..functions.matching import first_label
 from ..functions.rounding import hundredths, rounded_ratio, scaled_ratio
 from ..sources import reference_data as ref
 from .filters import apply_filters, has_comment
@@ -567,12 +568,7 @@ def vocabulary(enrichment: DataFrame) -> DataFrame:
 
 def business_category(theme: Column) -> Column:
     """First business category with a keyword inside the theme name."""
-    low = F.lower(theme)
-    out = None
-    for label, words in ref.BUSINESS_CATEGORY_RULES:
-        cond = F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w))
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return out.otherwise("Other")
+    return first_label(theme, ref.BUSINESS_CATEGORY_RULES, F.lit("Other"))
 
 
 def category_summary(listing: DataFrame) -> DataFrame:

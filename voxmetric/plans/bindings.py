@@ -333,3 +333,69 @@ def joined(col: str | Column, mark: str = "|") -> Column:
 
 def tidy_comment(col: str) -> Column:
     return cleaning.comment(F.col(col))
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification answers as text: plain JSON, JSON in prose, and none at all."""
+    e = enrichment(spark, sf_dir)
+    key = F.col("response_id")
+    confidence = key % 100 / 100.0
+    proposal = F.when(
+        key % 10 == 0, F.concat(F.lit("Nieuw  Thema "), (key % 20).cast("string"))
+    ).when(key % 10 == 1, "")
+    fields = [
+        F.coalesce("primary_theme", F.lit("")).alias("primary_theme"),
+        F.coalesce("themes", F.array().cast("array<string>")).alias("themes"),
+        F.col("sentiment_label").alias("sentiment"),
+        proposal.alias("new_theme"),
+    ]
+    full = F.to_json(F.struct(*fields, confidence.alias("confidence")))
+    text = (
+        F.when(key % 7 == 0, "geen idee")
+        .when(key % 7 == 1, F.concat(F.lit("Antwoord: "), full, F.lit(" einde")))
+        .when(key % 7 == 2, F.to_json(F.struct(*fields)))
+        .when(
+            key % 7 == 3,
+            F.to_json(F.struct(*fields, confidence.cast("string").alias("confidence"))),
+        )
+        .otherwise(full)
+    )
+    return e.select("response_id", text.alias("answer"))
+
+
+# Theme dimension that answers are reconciled with.
+KNOWN_THEMES = ("content_kwaliteit", "pricing", "merkvertrouwen", "overige", "te-duur", "Prijs")
+
+
+def theme_dimension(spark: SparkSession) -> DataFrame:
+    names = spark.createDataFrame([(n,) for n in KNOWN_THEMES], "name string")
+    return names.withColumn("slug", cleaning.slug(F.col("name")))
+
+
+def theme_list_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theme lists as text: JSON, JSON in prose, quoted words per line, fenced JSON."""
+    e = enrichment(spark, sf_dir)
+    key = F.col("response_id")
+    names = F.coalesce("themes", F.array().cast("array<string>"))
+    as_json = F.to_json(
+        F.transform(
+            names,
+            lambda n: F.struct(n.alias("name"), (key % 30 / 10.0).alias("confidence")),
+        )
+    )
+    lines = F.array_join(
+        F.transform(
+            names,
+            lambda n: F.concat(
+                F.lit('- "'), F.regexp_replace(F.lower(F.trim(n)), " ", "_"), F.lit('" "x"')
+            ),
+        ),
+        "\n",
+    )
+    text = (
+        F.when(key % 4 == 0, as_json)
+        .when(key % 4 == 1, F.concat(F.lit("Hier: "), as_json, F.lit(" klaar")))
+        .when(key % 4 == 2, lines)
+        .otherwise(F.concat(F.lit("```json\n"), as_json, F.lit("\n```")))
+    )
+    return e.select("response_id", text.alias("answer"))

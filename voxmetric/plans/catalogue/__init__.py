@@ -1,7 +1,7 @@
 """All catalogue entries."""
 
 from . import (  # noqa: F401
-    mapping, nps, themes, trends,
+    mapping, nps, text, themes, trends,
 )
 from .base import ENTRIES, Tables
 
