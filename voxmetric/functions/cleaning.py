@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Whitespace classes. ``F.trim`` removes the blank only, so text that may hold
-# line breaks, tabs or no-break blanks is stripped with one of these.
-UNICODE_SPACE = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = r"[\t\n\x0b\f\r " + UNICODE_SPACE + r"\ufeff]"
-SPACE_WITH_CONTROLS = r"[\t\n\x0b\f\r \x1c-\x1f\x85" + UNICODE_SPACE + "]"
+from .matching import let
+
+# Whitespace sets. ``F.trim`` alone removes the blank only; text that may hold
+# line breaks, tabs or no-break blanks is stripped of one of these. They are
+# plain character sets: trimming and translating them is several times faster
+# than a regular expression over a long comment.
+_UNICODE_SPACES = (
+    "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACES = "\t\n\x0b\f\r " + _UNICODE_SPACES + "\ufeff"
+SPACES_WITH_CONTROLS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85" + _UNICODE_SPACES
 
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -34,9 +41,15 @@ YES_WORDS = ("ja", "yes", "true", "1")
 NO_WORDS = ("nee", "no", "false", "0")
 
 
-def strip(col: Column, space: str = SPACE) -> Column:
+def strip(col: Column, spaces: str = SPACES) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(col, rf"^{space}+|{space}+\z", "")
+    return F.trim(col, F.lit(spaces))
+
+
+def split_words(col: Column, spaces: str = SPACES, others: str = "") -> Column:
+    """Words between whitespace (and ``others``); may hold empty strings."""
+    marks = spaces.replace(" ", "") + others
+    return F.split(F.translate(col, marks, " " * len(marks)), " ")
 
 
 def blank_to_null(col: Column) -> Column:
@@ -45,7 +58,7 @@ def blank_to_null(col: Column) -> Column:
 
 def score(col: Column) -> Column:
     """Score text to 0..10: decimals are cut off, anything else is NULL."""
-    text = strip(col.cast("string"), SPACE_WITH_CONTROLS)
+    text = strip(col.cast("string"), SPACES_WITH_CONTROLS)
     value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
     whole = F.when((value > -1) & (value < 11), value.cast("int"))
     return F.when(whole.between(0, 10), whole)
@@ -53,7 +66,7 @@ def score(col: Column) -> Column:
 
 def parse_date(col: Column, *, month_first: bool = False) -> Column:
     """Date text in any accepted layout, else NULL."""
-    text = strip(col.cast("string"), SPACE_WITH_CONTROLS)
+    text = strip(col.cast("string"), SPACES_WITH_CONTROLS)
     day_first, us_style, *others = DATE_LAYOUTS
     head = [us_style, day_first] if month_first else [day_first, us_style]
     attempts = [
@@ -70,14 +83,20 @@ def serial_date(col: Column) -> Column:
 
 
 def yes_no(col: Column) -> Column:
-    text = F.lower(strip(col.cast("string"), SPACE_WITH_CONTROLS))
+    text = F.lower(strip(col.cast("string"), SPACES_WITH_CONTROLS))
     return F.when(text.isin(*YES_WORDS), True).when(text.isin(*NO_WORDS), False)
 
 
 def comment(col: Column) -> Column:
     """Trimmed comment; blank and 'not applicable' marks become NULL."""
-    text = strip(col, SPACE_WITH_CONTROLS)
-    return F.when(~F.lower(text).isin(*MISSING_COMMENTS), text)
+    longest = max(map(len, MISSING_COMMENTS))
+
+    def keep(text: Column) -> Column:
+        # Only short texts are folded and compared.
+        missing = (F.length(text) <= longest) & F.lower(text).isin(*MISSING_COMMENTS)
+        return F.when(~missing, text)
+
+    return let(strip(col, SPACES_WITH_CONTROLS), keep)
 
 
 def is_empty_comment(col: Column) -> Column:
@@ -90,13 +109,12 @@ def title(preferred: Column, fallback: Column) -> Column:
 
 def word_count(col: Column) -> Column:
     """Number of whitespace-separated words; 0 for NULL and blank."""
-    text = strip(col, SPACE_WITH_CONTROLS)
-    words = F.size(F.split(text, SPACE_WITH_CONTROLS + "+"))
-    return F.when(F.length(text) > 0, words).otherwise(0)
+    words = F.filter(split_words(col, SPACES_WITH_CONTROLS), lambda w: w != "")
+    return F.coalesce(F.array_size(words), F.lit(0))
 
 
 def has_explanation(col: Column) -> Column:
-    return F.coalesce(F.length(strip(col, SPACE_WITH_CONTROLS)) > 0, F.lit(False))
+    return F.coalesce(F.length(strip(col, SPACES_WITH_CONTROLS)) > 0, F.lit(False))
 
 
 def or_unknown(col: Column) -> Column:
@@ -149,7 +167,7 @@ def question_label(col: Column) -> Column:
 
 def theme_id(col: Column) -> Column:
     """Snake-case identifier."""
-    return F.regexp_replace(F.lower(col), SPACE + "+", "_")
+    return F.regexp_replace(F.lower(col), f"[{SPACES}]+", "_")
 
 
 def clamp_unit(col: Column) -> Column:

@@ -133,7 +133,7 @@ _NEW = -1
 def _clean_answers(answers: DataFrame) -> DataFrame:
     def tidy(c: Column) -> Column:
         return F.coalesce(
-            cleaning.strip(c, cleaning.SPACE_WITH_CONTROLS), F.lit("")
+            cleaning.strip(c, cleaning.SPACES_WITH_CONTROLS), F.lit("")
         )
 
     return answers.select(

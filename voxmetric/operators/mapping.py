@@ -40,10 +40,12 @@ def reclassify(
     (response, new label) pairs of hits enter the join, never the text.
     """
     flat = tuple(rule for rules in rule_sets for rule in rules)
+    # Exploding the found label drops the misses without a second evaluation
+    # of the rules in a filter.
+    found = F.array_compact(F.array(rule_target(F.col("nps_explanation"), flat)))
     targets = responses.select(
-        F.col("id").alias("response_id"),
-        rule_target(F.col("nps_explanation"), flat).alias("target"),
-    ).filter(F.col("target").isNotNull())
+        F.col("id").alias("response_id"), F.explode(found).alias("target")
+    )
     replaced = F.array_distinct(
         F.transform(
             "themes", lambda t: F.when(t == catch_all, F.col("target")).otherwise(t)

@@ -13,7 +13,7 @@ from ..sources import reference_data as ref
 from .filters import has_comment
 from .nps import top_per_group
 
-_PUNCTUATION = r"[.,!?;:()\[\]]"
+_PUNCTUATION = ".,!?;:()[]"
 
 
 # ---------------------------------------------------------------- key words
@@ -21,10 +21,9 @@ _PUNCTUATION = r"[.,!?;:()\[\]]"
 
 def words(text: Column, *, strip_punctuation: bool = True) -> Column:
     """Lower-case whitespace-separated words of a text."""
-    low = F.lower(text)
-    if strip_punctuation:
-        low = F.regexp_replace(low, _PUNCTUATION, " ")
-    return F.split(low, cleaning.SPACE + "+")
+    return cleaning.split_words(
+        F.lower(text), others=_PUNCTUATION if strip_punctuation else ""
+    )
 
 
 def word_counts(
