@@ -1,7 +1,7 @@
 """All catalogue entries."""
 
 from . import (  # noqa: F401
-    mapping, nps, text, themes, trends,
+    mapping, nps, surveys, text, themes, trends,
 )
 from .base import ENTRIES, Tables
 
