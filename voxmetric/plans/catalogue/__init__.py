@@ -1,7 +1,7 @@
 """All catalogue entries."""
 
 from . import (  # noqa: F401
-    mapping, nps, surveys, text, themes, trends,
+    ingest, mapping, nps, quality, surveys, text, themes, trends,
 )
 from .base import ENTRIES, Tables
 
