@@ -16,13 +16,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def needed(words: Sequence[str], known: Sequence[str] = ()) -> list[str]:
+    """Words that can still decide a test after the ``known`` ones failed.
+
+    A text with a longer word also holds every part of it, so a word that
+    contains a shorter one (or one tested before) is never the deciding one.
+    """
+    kept: list[str] = []
+    for word in sorted(dict.fromkeys(words), key=len):
+        if not any(k in word for k in (*known, *kept)):
+            kept.append(word)
+    return [w for w in dict.fromkeys(words) if w in kept]
+
+
+def sql_text(value: str) -> str:
+    """String literal for use inside an SQL expression."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def word_array(words: Sequence[str]) -> Column:
+    """Constant array of words, folded to one literal by the optimiser."""
+    return F.expr("array(" + ", ".join(map(sql_text, words)) + ")")
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     """Whether any of the words occurs in the text; NULL for NULL text."""
-    out = None
-    for word in words:
-        hit = text.contains(word)
-        out = hit if out is None else out | hit
-    return F.lit(False) if out is None else out
+    return F.exists(word_array(needed(words)), lambda w: text.contains(w))
 
 
 def first_label(
@@ -31,10 +51,12 @@ def first_label(
     """Label of the first rule with a keyword in the lower-cased text."""
 
     def chain(low: Column) -> Column:
-        out = None
+        out, seen = F.when(F.lit(False), ""), []
         for label, words in rules:
-            cond = contains_any(low, [w.lower() for w in words])
-            out = F.when(cond, label) if out is None else out.when(cond, label)
+            left = needed([w.lower() for w in words], seen)
+            if left:
+                out = out.when(contains_any(low, left), label)
+                seen += left
         return out if default is None else out.otherwise(default)
 
     return let(F.lower(text), chain)

@@ -75,7 +75,7 @@ def audit_inputs(
     low_segments: Column = F.lit(None).cast("bigint")
     if segment_col:
         sizes = quarter.groupBy(segment_col).agg(F.count(F.lit(1)).alias("n"))
-        total = sizes.agg(F.sum("n")).scalar()
+        total = quarter.agg(F.count(F.lit(1))).scalar()
         low_segments = sizes.agg(
             F.count_if(F.col("n") * 100 < total * LOW_SEGMENT_PCT)
         ).scalar()

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cleaning, scores
+from ..session import stage
 from ..sources import reference_data as ref
 from .lookup import lookup_join
 from .text import classify_comment, matched_keywords
@@ -184,19 +185,23 @@ def new_themes(answers: DataFrame, dimension: DataFrame) -> DataFrame:
     return first.join(dimension.select("slug"), "slug", "left_anti").select("name", "slug")
 
 
-def reconcile(answers: DataFrame, dimension: DataFrame) -> DataFrame:
+def reconcile(
+    answers: DataFrame, dimension: DataFrame, added: DataFrame | None = None
+) -> DataFrame:
     """Answers with themes replaced by the names of the theme dimension.
 
-    Themes are matched by slug; unseen slugs take the name ``new_themes``
-    gives them. Order is kept and repeats are dropped. An accepted new theme
-    becomes the primary theme and leads the list.
+    Themes are matched by slug. ``added`` holds the rows ``new_themes`` found,
+    once they are written; without it they are staged here. Order is kept and
+    repeats are dropped. An accepted new theme becomes the primary theme and
+    leads the list.
     """
+    if added is None:
+        added = stage(new_themes(answers, dimension), "new-themes")
     names = (
-        dimension.groupBy("slug")
+        dimension.select("slug", "name")
+        .unionByName(added.select("slug", "name"))
+        .groupBy("slug")
         .agg(F.min("name").alias("canonical"))
-        .unionByName(
-            new_themes(answers, dimension).select("slug", F.col("name").alias("canonical"))
-        )
     )
     rows = lookup_join(_named(answers, dimension), names, "slug", F.col("response_id"))
     grouped = rows.groupBy("response_id").agg(

@@ -35,3 +35,16 @@ def lookup_join(
         .join(salted, [key, "salt"], "left")
         .drop("salt")
     )
+
+
+def total_of(df: DataFrame, column: str) -> Column:
+    """Sum of a column of ``df`` as a scalar to use in a query over ``df``.
+
+    The hash keeps all columns alive in the scalar's plan. Its input is then
+    the very plan of ``df``, so Spark reuses the shuffled result instead of
+    computing a pruned copy of it. Select what the query needs beforehand.
+    """
+    total = df.agg(
+        F.struct(F.sum(column).alias("s"), F.max(F.xxhash64(*df.columns)).alias("h")).alias("t")
+    ).scalar()
+    return total["s"]

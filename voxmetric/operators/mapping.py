@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scores
-from ..functions.matching import contains_any, first_label, let
+from ..functions.matching import contains_any, first_label, let, sql_text
 from ..functions.rounding import rounded_ratio
 from ..sources import reference_data as ref
-from .lookup import lookup_join
+from .lookup import lookup_join, total_of
 from .nps import top_per_group
 
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
@@ -86,8 +86,7 @@ def _stored_counts(enrichment: DataFrame) -> DataFrame:
 def reclassification_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """Mentions per theme before and after, with shares and the difference."""
     b, a = _stored_counts(before), _stored_counts(after)
-    total_b = b.agg(F.sum("mentions")).scalar()
-    total_a = a.agg(F.sum("mentions")).scalar()
+    total_b, total_a = total_of(b, "mentions"), total_of(a, "mentions")
     both = (
         b.select("theme", F.col("mentions").alias("mentions_before"))
         .join(a.select("theme", F.col("mentions").alias("mentions_after")), "theme", "full_outer")
@@ -122,13 +121,13 @@ def theme_mapping(theme: Column) -> Column:
     contained in it 0.75; else a keyword family 0.8; else uncategorised 0.1.
     A missing name maps to Other / Unknown with confidence 0.
     """
-    patterns = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("pattern"), F.lit(m).alias("main"), F.lit(s).alias("sub")
-            )
+    patterns = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('pattern', {sql_text(p)}, 'main', {sql_text(m)}, 'sub', {sql_text(s)})"
             for p, m, s in ref.theme_patterns()
-        ]
+        )
+        + ")"
     )
 
     def mapped(name: Column) -> Column:
@@ -250,10 +249,10 @@ def hierarchy_folded(theme_rows: DataFrame) -> DataFrame:
 
 def top_sub_themes(theme_rows: DataFrame, *, k: int = 3) -> DataFrame:
     """Largest sub categories outside Other with their share of all counts."""
-    total = theme_rows.agg(F.sum("count_responses")).scalar()
+    buckets = hierarchy(theme_rows).select("main_category", "sub_category", "count")
+    total = total_of(buckets, "count")
     return (
-        hierarchy(theme_rows)
-        .filter(F.col("main_category") != "Other")
+        buckets.filter(F.col("main_category") != "Other")
         .orderBy(F.desc("count"), "main_category", "sub_category")
         .limit(k)
         .select(

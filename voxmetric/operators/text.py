@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cleaning
-from ..functions.matching import contains_any, let
+from ..functions.matching import contains_any, let, word_array
 from ..functions.rounding import rounded_ratio
 from ..sources import reference_data as ref
 from .filters import has_comment
@@ -91,7 +91,7 @@ def keyword_hints(
     found = F.regexp_extract_all(
         F.lower("nps_explanation"), F.lit("([A-Za-z0-9_]{3,})"), F.lit(1)
     )
-    stop = F.array(*map(F.lit, stop_words))
+    stop = word_array(stop_words)
     gathered = picked.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("rank", found.alias("w")))).alias("s")
     )
@@ -209,10 +209,10 @@ def matched_keywords(
     comment: Column, taxonomy: Sequence[tuple[str, Sequence[str]]] = ref.COMMENT_TAXONOMY
 ) -> Column:
     """Taxonomy keywords that occur in a comment."""
-    kws = dict.fromkeys(k for _, group in taxonomy for k in group)
+    kws = list(dict.fromkeys(k for _, group in taxonomy for k in group))
     return let(
         F.lower(comment),
-        lambda low: F.array_compact(F.array(*[F.when(low.contains(k), k) for k in kws])),
+        lambda low: F.filter(word_array(kws), lambda w: low.contains(w)),
     )
 
 

@@ -18,7 +18,7 @@ from ..functions.matching import first_label
 from ..functions.rounding import hundredths, rounded_ratio, scaled_ratio
 from ..sources import reference_data as ref
 from .filters import apply_filters, has_comment
-from .lookup import lookup_join
+from .lookup import lookup_join, total_of
 from .nps import top_per_group
 
 Synonyms = Mapping[str, tuple[str, ...]]
@@ -266,8 +266,10 @@ def overview_counts(rows: DataFrame) -> DataFrame:
 
 def aggregate(rows: DataFrame, *, date_col: str = "created_at", **filters) -> DataFrame:
     """Distinct responses, share of all theme counts, mean sentiment and score."""
-    by_theme = theme_totals(apply_filters(rows, date_col=date_col, **filters))
-    total = by_theme.agg(F.sum("responses")).scalar()
+    by_theme = theme_totals(apply_filters(rows, date_col=date_col, **filters)).select(
+        "theme", "responses", "mood_sum", "mood_count", "score_sum", "scored"
+    )
+    total = total_of(by_theme, "responses")
     return by_theme.select(
         "theme",
         F.col("responses").alias("count_responses"),
@@ -335,10 +337,13 @@ def top_themes(
     Counts mentions, or distinct responses when asked; the means are per
     mention either way.
     """
-    t = theme_totals(apply_filters(rows, **filters))
-    count = F.col("responses" if distinct_responses else "mentions")
-    total = t.agg(F.sum(count)).scalar()
+    size = "responses" if distinct_responses else "mentions"
     moods = F.col("mentions") if null_sentiment_as_zero else F.col("mood_count")
+    t = theme_totals(apply_filters(rows, **filters)).select(
+        "theme", F.col(size).alias("size"), "mentions", moods.alias("moods"), "mood_sum",
+        "score_sum", "promoters", "detractors",
+    )
+    count, moods, total = F.col("size"), F.col("moods"), total_of(t, "size")
     return (
         t.orderBy(F.desc(count), F.asc_nulls_last("theme"))
         .limit(k)
@@ -381,8 +386,11 @@ def theme_list(
     drop out.
     """
     kept = apply_filters(rows, **filters)
-    counts = theme_totals(kept)
-    total = counts.agg(F.sum("mentions")).scalar()
+    used = sorted({c for n, d, _ in _OVERVIEW.values() for c in (n, d)} - {"mentions"})
+    counts = theme_totals(kept).select(
+        "theme", "mentions", *([] if global_metrics else used)
+    )
+    total = total_of(counts, "mentions")
     theme, n = F.col("theme"), F.col("mentions")
     listing = counts.select(
         "theme",
@@ -532,7 +540,7 @@ def share_sparklines(rows: DataFrame, *, k: int = 5, **filters) -> DataFrame:
 def distribution(rows: DataFrame, *, k: int | None = None) -> DataFrame:
     """Mentions per theme with their share of all mentions."""
     counts = rows.groupBy("theme").agg(F.sum("hits").alias("mentions"))
-    total = counts.agg(F.sum("mentions")).scalar()
+    total = total_of(counts, "mentions")
     if k is not None:
         counts = counts.orderBy(F.desc("mentions"), F.asc_nulls_last("theme")).limit(k)
     return counts.select(

@@ -51,9 +51,10 @@ add(
           unnest(p.ws) with ordinality as u(w, ord)),
         firsts as (select theme, word, min(rn * 1000000 + pos) as first_at from found
           where word not in ({words(ref.HINT_STOP_WORDS)}) group by all)
-        select theme, string_agg(word, ',' order by first_at) as keywords from
-          (select *, row_number() over (partition by theme order by first_at) as n from firsts)
-        where n <= 5 group by theme"""
+        select t.theme, coalesce(string_agg(word, ',' order by first_at), '') as keywords
+        from (select distinct theme from picked) t left join
+          (select *, row_number() over (partition by theme order by first_at) as n from firsts) w
+            on w.theme = t.theme and n <= 5 group by t.theme"""
     ),
 )
 add(

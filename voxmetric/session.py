@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,6 +16,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every column expression costs more
+    # than running a small query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -44,9 +48,12 @@ def staging_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root()
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
