@@ -119,7 +119,7 @@ def demographics(responses: DataFrame) -> DataFrame:
         F.col("total_responses").alias("response_count"),
         _mean(2).alias("avg_score"),
         _net().alias("nps_score"),
-    )
+    ).orderBy("survey_name", F.desc("response_count"))
 
 
 def daily_trend(responses: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def daily_trend(responses: DataFrame) -> DataFrame:
         F.col("detractors").alias("daily_detractors"),
         _mean(2).alias("daily_avg_score"),
         _net().alias("daily_nps_score"),
-    )
+    ).orderBy("survey_name", "creation_date")
 
 
 def kpis(responses: DataFrame, **filters) -> DataFrame:

@@ -70,7 +70,9 @@ def nearest_to_many(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> D
 def with_responses(hits: DataFrame, responses: DataFrame, *columns: str) -> DataFrame:
     """Response columns for a top-k result; its k rows are all that is broadcast."""
     side = responses.select(F.col("id").alias("response_id"), *columns)
-    return side.join(F.broadcast(hits), "response_id")
+    return side.join(F.broadcast(hits), "response_id").orderBy(
+        F.desc("similarity"), "response_id"
+    )
 
 
 # ------------------------------------------------------- approximate search

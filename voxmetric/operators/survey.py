@@ -149,7 +149,7 @@ def severity(answers: DataFrame) -> DataFrame:
         "unit_sum",
         F.round(negative_share, 6).alias("negative_share"),
         F.round(score, 6).alias("severity"),
-    )
+    ).orderBy("survey_id", F.desc("severity"), "theme")
 
 
 def ranked_severity(answers: DataFrame, k: int) -> DataFrame:

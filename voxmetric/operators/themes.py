@@ -198,7 +198,7 @@ def overview(
                 rounded_ratio(F.col(n), F.col(d) * m, digits).alias(out)
                 for out, (n, d, m) in _OVERVIEW.items()
             ],
-        )
+        ).orderBy(F.desc_nulls_last("mentions"), "theme")
     tail = F.col("mentions") < min_mentions
     # A head theme forms a group of its own: its sums pass through unchanged.
     # Tail themes add up their metric in fixed units of 10^-9.
@@ -234,7 +234,7 @@ def overview(
             .alias(out)
             for out in _OVERVIEW
         ],
-    )
+    ).orderBy(F.desc_nulls_last("mentions"), "theme")
 
 
 def tail_breakdown(rows: DataFrame, *, min_mentions: int = 3) -> DataFrame:
@@ -261,7 +261,7 @@ def overview_counts(rows: DataFrame) -> DataFrame:
             rounded_ratio(F.col(c) * 100, n, 1).alias(f"pct_{c}")
             for c in ("promoters", "passives", "detractors")
         ],
-    )
+    ).orderBy(F.desc("mentions"), F.asc_nulls_last("theme"))
 
 
 def aggregate(rows: DataFrame, *, date_col: str = "created_at", **filters) -> DataFrame:
@@ -276,7 +276,7 @@ def aggregate(rows: DataFrame, *, date_col: str = "created_at", **filters) -> Da
         scores.percent(F.col("responses"), total).alias("share_pct"),
         rounded_ratio(F.col("mood_sum"), F.col("mood_count") * 100, 3).alias("avg_sentiment"),
         scores.mean(F.col("score_sum"), F.col("scored"), 1).alias("avg_nps"),
-    )
+    ).orderBy(F.desc("count_responses"), F.asc_nulls_last("theme"))
 
 
 def promoter_detractor(
@@ -321,7 +321,7 @@ def sentiment_by_survey(rows: DataFrame) -> DataFrame:
         "positive_count",
         "negative_count",
         "neutral_count",
-    )
+    ).orderBy("survey_name", F.desc("theme_count"), F.asc_nulls_last("theme"))
 
 
 def top_themes(

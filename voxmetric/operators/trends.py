@@ -52,7 +52,7 @@ def trend_by_title(
         "passives",
         "detractors",
         (_tenths() / 10.0).alias("nps"),
-    )
+    ).orderBy("month", F.asc_nulls_last("title"))
 
 
 def _title_series(rows: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def trend_by_title_with_change(
         "responses",
         (F.col("tenths") / 10.0).alias("nps"),
         (F.col("delta_tenths") / 10.0).alias("mom_delta"),
-    )
+    ).orderBy("month", F.asc_nulls_last("title"))
 
 
 def _latest_rows(responses, start, end, survey, min_responses) -> DataFrame:
@@ -122,9 +122,10 @@ def top_title_moves(
     ties = [F.desc("responses"), F.asc_nulls_last("title")]
     up = moved.orderBy(F.desc("mom_delta"), *ties).limit(top_k)
     down = moved.orderBy(F.asc("mom_delta"), *ties).limit(top_k)
-    return up.withColumn("move", F.lit("up")).unionByName(
+    both = up.withColumn("move", F.lit("up")).unionByName(
         down.withColumn("move", F.lit("down"))
     )
+    return both.orderBy("move", F.desc("mom_delta"), F.asc_nulls_last("title"))
 
 
 def title_movers(
@@ -235,7 +236,7 @@ def theme_share_change(
         "count_responses",
         (F.col("cents") / 100.0).alias("share_pct"),
         ((F.col("cents") - before) / 100.0).alias("mom_share_delta"),
-    )
+    ).orderBy("month", F.asc_nulls_last("theme"))
 
 
 def monthly_trend(
