@@ -58,23 +58,29 @@ def blank_to_null(col: Column) -> Column:
 
 def score(col: Column) -> Column:
     """Score text to 0..10: decimals are cut off, anything else is NULL."""
-    text = strip(col.cast("string"), SPACES_WITH_CONTROLS)
-    value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    whole = F.when((value > -1) & (value < 11), value.cast("int"))
-    return F.when(whole.between(0, 10), whole)
+
+    def parse(text: Column) -> Column:
+        value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+        whole = F.when((value > -1) & (value < 11), value.cast("int"))
+        return F.when(whole.between(0, 10), whole)
+
+    return let(strip(col.cast("string"), SPACES_WITH_CONTROLS), parse)
 
 
 def parse_date(col: Column, *, month_first: bool = False) -> Column:
     """Date text in any accepted layout, else NULL."""
-    text = strip(col.cast("string"), SPACES_WITH_CONTROLS)
     day_first, us_style, *others = DATE_LAYOUTS
     head = [us_style, day_first] if month_first else [day_first, us_style]
-    attempts = [
-        F.when(text.rlike(shape), F.try_to_date(text, layout))
-        for shape, layout in [*head, *others]
-    ]
-    stamp = F.when(text.rlike(_ISO_STAMP), F.try_to_date(F.substring(text, 1, 10)))
-    return F.coalesce(*attempts, stamp)
+
+    def parse(text: Column) -> Column:
+        attempts = [
+            F.when(text.rlike(shape), F.try_to_date(text, layout))
+            for shape, layout in [*head, *others]
+        ]
+        stamp = F.when(text.rlike(_ISO_STAMP), F.try_to_date(F.substring(text, 1, 10)))
+        return F.coalesce(*attempts, stamp)
+
+    return let(strip(col.cast("string"), SPACES_WITH_CONTROLS), parse)
 
 
 def serial_date(col: Column) -> Column:

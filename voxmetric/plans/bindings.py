@@ -73,6 +73,15 @@ def _after_midnight(stamp: Column, seconds: Column) -> Column:
     return F.timestamp_seconds(F.unix_seconds(stamp.cast("timestamp")) + seconds)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows over all cores, before text is joined to or made from them.
+
+    A small table arrives as one file and would keep the text work that
+    follows on one core. ``key`` must be evenly distributed.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def remark(key: Column, shift: Column) -> Column:
     return _pick(REMARKS, (key * 13 + shift) % len(REMARKS))
 
@@ -113,9 +122,9 @@ def responses(spark: SparkSession, sf_dir: str, *, comments: bool = False) -> Da
     explanation = F.when(F.col("id") % 5 == 0, F.lit(None)).when(
         F.col("id") % 31 == 0, " n.v.t. "
     ).otherwise(text)
+    keyed = spread(base.withColumn("doc_id", F.col("id") % size), "doc_id")
     return (
-        base.withColumn("doc_id", F.col("id") % size)
-        .join(docs, "doc_id", "left")
+        keyed.join(docs, "doc_id", "left")
         .withColumn("nps_explanation", explanation)
         .drop("doc_id", "text", "cust")
     )
@@ -263,7 +272,7 @@ def wide_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw export rows, all text: mixed date layouts, bad scores, missing values."""
-    rows = responses(spark, sf_dir)
+    rows = spread(responses(spark, sf_dir), "id")
     key, day = F.col("id"), F.col("creation_date")
     layouts = ("dd/MM/yyyy", "yyyy-MM-dd", "d-M-yyyy", "d.M.yyyy")
     date_text = F.when(key % 41 == 0, "").when(key % 43 == 0, "31/31/2000")
