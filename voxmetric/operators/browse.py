@@ -87,20 +87,14 @@ def page(
     if theme:
         side = has_theme(side, theme)
     columns = ("themes", "sentiment_score", "sentiment_label")
-    if theme:
-        joined = with_enrichment(rows, side, *columns, how="inner")
-        cut = joined.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
-    else:
-        # Cut the page first: enrichment is looked up for its rows only.
-        cut = with_enrichment(
-            rows.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit),
-            side,
-            *columns,
-        )
+    # The cut comes last: adaptive execution may drop a sort that follows a join
+    # of an already limited page, and the page would lose its order.
+    joined = with_enrichment(rows, side, *columns, how="inner" if theme else "left")
+    cut = joined.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
     return cut.select(
         "id", "created_at", "title_text", "survey_name", "nps_score",
         "nps_explanation", *columns,
-    ).orderBy(F.desc("created_at"), "id")
+    )
 
 
 def after(df: DataFrame, key: str, last: int | None, limit: int) -> DataFrame:
