@@ -113,7 +113,10 @@ class _Ids(dict):
         return array("I", ids).tobytes() if _LITTLE else np.array(ids, dtype="<u4").tobytes()
 
 
-_ids = cache(_Ids)
+@cache
+def _ids(path: str) -> _Ids:
+    """The vocabulary that a worker keeps between its tasks."""
+    return _Ids(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int) -> Callable:
