@@ -8,9 +8,11 @@ another. All copies are removed, the first one included.
    smallest of ``LENGTH - k + 1`` consecutive ones. Any window of ``LENGTH``
    words holds at least one of them, and equal windows hold equal ones, so only
    windows around an anchor that occurs twice can be repeated.
+   A text as a whole is a seed as well: all windows of a text that occurs twice
+   are repeated.
 2. *Extension.* Around each anchor that occurs twice, every window that holds
    it, up to ``LENGTH - k`` words to the left and as many to the right, is
-   matched by a 128-bit hash of its words.
+   matched by a 96-bit hash of its words. Of equal texts one block does this.
 3. *Maximal repeats.* Overlapping matched windows are joined to the longest
    runs; their words go.
 
@@ -32,11 +34,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .storage import written
 
 LENGTH = 35
 SEED_WORDS = 10
@@ -79,6 +83,27 @@ def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[heads] for k in keys], np.diff(np.append(heads, len(order)))
 
 
+def _texts(w: W.Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index and the two parts of a 96-bit hash of each text that has a window."""
+    at = np.flatnonzero(w.counts >= length)
+    h = [xxhash.xxh3_128_intdigest(w.raw[w.offsets[i] : w.offsets[i + 1]].tobytes()) for i in at]
+    low = np.array([x & ((1 << 64) - 1) for x in h], dtype=np.uint64)
+    return at, low, np.array([x >> 96 | 1 for x in h], dtype=np.uint64)
+
+
+def _rows(a: np.ndarray, b: np.ndarray, block: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(a.view(np.int64)), pa.array(b.astype(np.uint32).view(np.int32)),
+            pa.array(block.astype(np.int64)), pa.array(n.astype(np.int64)),
+        ],
+        names=["a", "b", "block", "n"],
+    )
+
+
+_ROWS = "a bigint, b int, block bigint, n bigint"
+
+
 def _seeds(length: int, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,41 +112,60 @@ def _seeds(length: int, k: int) -> Callable:
             for i, _, w in W.slices(batch.column("text")):
                 at, g = _anchors(w, w.hashes(), length, k)
                 text_of = np.searchsorted(w.first, at, side="right") - 1
-                found.append((g, blocks[i + text_of]))
+                found.append((g, np.zeros_like(g), blocks[i + text_of]))
+                at, low, high = _texts(w, length)
+                found.append((low, high, blocks[i + at]))
             if found:
-                (g, block), n = _distinct(*(np.concatenate(x) for x in zip(*found)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(block.astype(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["a", "block", "n"],
-                )
+                (a, b, block), n = _distinct(*(np.concatenate(x) for x in zip(*found)))
+                yield _rows(a, b, block, n)
 
     return run
 
 
+def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and whether the block is the first of its key, sorted by a."""
+    a = rows["a"].to_numpy().view(np.uint64)
+    order = np.argsort(a, kind="stable")
+    b = rows["b"].to_numpy().view(np.uint32).astype(np.uint64)
+    return a[order], b[order], rows["first"].to_numpy(zero_copy_only=False)[order]
+
+
+def _copies(w: W.Words, length: int, known: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that occur twice or more, and those of them that another block extends."""
+    a, b, first = known
+    copy, elsewhere = np.zeros(len(w.counts), dtype=bool), np.zeros(len(w.counts), dtype=bool)
+    if len(a):
+        at, low, high = _texts(w, length)
+        place = np.minimum(np.searchsorted(a, low), len(a) - 1)
+        hit = (a[place] == low) & (b[place] == high)
+        copy[at[hit]], elsewhere[at[hit]] = True, ~first[place[hit]]
+    return copy, elsewhere
+
+
 def _windows(length: int, k: int) -> Callable:
     def run(texts: pa.Table, seeds: pa.Table) -> pa.Table:
-        known = np.sort(seeds["a"].to_numpy().view(np.uint64))
+        known = _keys(seeds)
         found = []
-        for _, _, w in W.slices(texts["text"].combine_chunks()) if len(known) else ():
+        for _, _, w in W.slices(texts["text"].combine_chunks()) if len(known[0]) else ():
+            copy, elsewhere = _copies(w, length, known)
             h = w.hashes()
             at, g = _anchors(w, h, length, k)
-            at = at[_member(g, known)]
+            at = at[_member(g, known[0])]
             if not len(at):
                 continue
             marks = np.zeros(len(w), dtype=bool)
             marks[at] = True
             begins = W.covered(marks[::-1], length - k + 1)[::-1] & W.fits(w, length)
-            found.append((W.window_hashes(h, length)[begins], W.window_hashes(w.hashes(1), length)[begins]))
-        (a, b), n = _distinct(*(np.concatenate(x) for x in zip(*found))) if found else ((np.zeros(0, np.uint64),) * 2, [])
-        block = texts[_BLOCK][0].as_py() if texts.num_rows else None
-        return pa.table(
-            {
-                "a": pa.array(np.asarray(a).view(np.int64)),
-                "b": pa.array(np.asarray(b).view(np.int64)),
-                "block": pa.array([block] * len(n), pa.int64()),
-                "n": pa.array(np.asarray(n, dtype=np.int64)),
-            }
-        )
+            begins &= ~np.repeat(elsewhere, w.counts)
+            twice = 1 + np.repeat(copy, w.counts)[begins].astype(np.int64)
+            a, b = (W.window_hashes(x, length)[begins] for x in (h, w.hashes(1)))
+            found.append((a, b & np.uint64(0xFFFFFFFF), twice))
+        if not found:
+            return pa.Table.from_batches([_rows(*(np.zeros(0, np.uint64),) * 4)])
+        a, b, twice = (np.concatenate(x) for x in zip(*found))
+        (a, b, twice), n = _distinct(a, b, twice)
+        block = np.full(len(a), texts[_BLOCK][0].as_py())
+        return pa.Table.from_batches([_rows(a, b, block, n * twice)])
 
     return run
 
@@ -134,9 +178,7 @@ def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _strip(length: int) -> Callable:
     def run(rows: pa.Table, repeated: pa.Table) -> pa.Table:
-        a, b = (repeated[c].to_numpy().view(np.uint64) for c in "ab")
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
+        known = a, b, _ = _keys(repeated)
         texts = rows["text"].combine_chunks()
         kept, n_words, n_removed, runs = [], [], [], []
         for i, j, w in W.slices(texts):
@@ -148,8 +190,9 @@ def _strip(length: int) -> Callable:
                 if len(whole):
                     other = W.window_hashes(w.hashes(1), length)[whole]
                     begins = np.zeros(len(w), dtype=bool)
-                    begins[whole[b[np.searchsorted(a, h)] == other]] = True
+                    begins[whole[b[np.searchsorted(a, h)] == other & np.uint64(0xFFFFFFFF)]] = True
                     gone = W.covered(begins, length)
+                gone |= np.repeat(_copies(w, length, known)[0], w.counts)
             n_words.append(w.counts)
             n_removed.append(w.per_text(gone))
             for text, lo, hi, n in zip(texts.slice(i, j - i), w.first[:-1], w.first[1:], n_removed[-1]):
@@ -172,13 +215,15 @@ def _strip(length: int) -> Callable:
     return run
 
 
-def _seen_twice(counts: DataFrame, *key: str) -> DataFrame:
-    """(block, key) for keys whose counts add up to two or more over all blocks."""
+def _seen_twice(counts: DataFrame) -> DataFrame:
+    """(block, a, b, first) for keys whose counts add up to two or more over all blocks."""
     return (
-        counts.groupBy(*key)
+        counts.groupBy("a", "b")
         .agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks"))
         .filter("n > 1")
-        .select(F.explode("blocks").alias(_BLOCK), *key)
+        .withColumn("least", F.array_min("blocks"))
+        .select(F.explode("blocks").alias(_BLOCK), "a", "b", "least")
+        .select(_BLOCK, "a", "b", (F.col(_BLOCK) == F.col("least")).alias("first"))
     )
 
 
@@ -196,21 +241,23 @@ def strip_repeats(documents: DataFrame, length: int = LENGTH, seed_words: int =
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
     dealt = documents.withColumn(_BLOCK, block)
     seeds = documents.select("text", block.alias("block")).mapInArrow(
-        _seeds(length, seed_words), "a bigint, block bigint, n bigint"
+        _seeds(length, seed_words), _ROWS
     )
+    seeds = written(_seen_twice(seeds), "seeds")
     windows = (
         dealt.select("text", _BLOCK)
         .groupBy(_BLOCK)
-        .cogroup(_seen_twice(seeds, "a").groupBy(_BLOCK))
-        .applyInArrow(_windows(length, seed_words), "a bigint, b bigint, block bigint, n bigint")
+        .cogroup(seeds.groupBy(_BLOCK))
+        .applyInArrow(_windows(length, seed_words), _ROWS)
     )
     schema = T.StructType(
         [f for f in documents.schema.fields]
         + [T.StructField(c, T.LongType()) for c in added[:2]]
         + [T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())])))]
     )
+    repeated = _seen_twice(windows).unionByName(seeds.filter("b <> 0"))
     return (
         dealt.groupBy(_BLOCK)
-        .cogroup(_seen_twice(windows, "a", "b").groupBy(_BLOCK))
+        .cogroup(repeated.groupBy(_BLOCK))
         .applyInArrow(_strip(length), schema)
     )
