@@ -204,7 +204,8 @@ def classes(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
     owner = names.join(found, "fp", "left").select(
         "fp", F.coalesce("component", "name").alias("component_id"), F.coalesce("at", "fp").alias("class_fp")
     )
-    return prints.join(owner, "fp").select("doc_id", "text_key", "fp", "component_id", "class_fp")
+    # Written, so that both sides of the join are plain rows and a hot key is split.
+    return prints.join(written(owner, "owners"), "fp").select("doc_id", "text_key", "fp", "component_id", "class_fp")
 
 
 def representatives(documents: DataFrame) -> DataFrame:

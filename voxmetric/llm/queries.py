@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covering, crf, packing, repetition, substring
-from .storage import written
+from . import covering, crf, packing, ppm, repetition, reputation, segments, substring, tallies, unigram
+from .storage import scratch
 from .twins import SQL  # noqa: F401
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+_WORDS, _MARKS = r"[^\x20\x09-\x0D]+", r"[.,]"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +23,49 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(_read(spark, sf_dir, "documents"))
 
 
+def op2_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(_read(spark, sf_dir, "documents"), PIECES)
+
+
+def op3_token_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted; then toxic ones deleted and bad ones counted anew by
+    another tokenizer version, in a batch that is committed twice."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_count(text, F.lit(_WORDS))
+    counted = _read(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.length(text).alias("n_chars"), words.alias("words"),
+        F.regexp_count(text, F.lit(_MARKS)).alias("marks"), F.lit(0).alias("seq"),
+    )
+    kept = tallies.Tallies(spark, scratch(spark, "tallies"))
+    kept.commit(1, counted.withColumns({"op": F.lit("insert"), "version": F.lit("words-1"), "n_tokens": F.col("words")}))
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    second = counted.join(labels, "doc_id").filter("toxic = 1 or quality = 0")
+    second = second.withColumns(
+        {"op": F.expr("if(toxic = 1, 'delete', 'revise')"), "version": F.lit("words-2"), "n_tokens": F.col("words") + F.col("marks")}
+    )
+    for _ in range(2):
+        kept.commit(2, second)
+    return kept.totals()
+
+
 def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents").withColumn("held_out", crf.held_out())
     model = crf.train(documents.filter(~F.col("held_out")))
     return crf.identify(documents, model, ["doc_id", "held_out"])
 
 
+def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_read(spark, sf_dir, "documents").withColumn("held_out", ppm.held_out()))
+
+
 def op6_packing_lp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.strip_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -41,7 +76,17 @@ def op9_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled outcome of a page is the quality label of its number: 0 is bad."""
+    outcomes = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    judged = reputation.judge(_read(spark, sf_dir, "pages"), outcomes)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_repetition, op4_language_crf, op6_packing_lp, op8_substring_dedup, op9_simhash_covering)
-}
+    for f in (
+        op1_repetition, op2_unigram_pieces, op3_token_tallies, op4_language_crf, op5_ppm_score,
+        op6_packing_lp, op7_segment_top_k, op8_substring_dedup, op9_simhash_covering, op10_host_reputation,
+    )
+}

@@ -71,4 +71,82 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM texts LEFT JOIN kept USING (rid)
 """
 
-SQL = {"op1_repetition": OP1, "op8_substring_dedup": OP8}
+OP3 = rf"""
+WITH counted AS (
+  SELECT d.doc_id, source, lang, coalesce(quality = 0, false) AS bad,
+         len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS words,
+         len(regexp_extract_all(coalesce(text, ''), '[.,]'))::BIGINT AS marks, length(coalesce(text, ''))::BIGINT AS chars
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+  WHERE coalesce(toxic, 0) <> 1)
+SELECT source, lang, CASE WHEN bad THEN 'words-2' ELSE 'words-1' END AS version, count(*)::BIGINT AS n_docs,
+       sum(CASE WHEN bad THEN words + marks ELSE words END)::BIGINT AS n_tokens, sum(chars)::BIGINT AS n_chars
+FROM counted GROUP BY ALL
+"""
+
+OP7 = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+def _shrunk(children: str, parent: str, mean: str, out: str) -> str:
+    return f"""
+{out}_m AS (
+  SELECT greatest(1.0, least(1000.0, coalesce(CASE WHEN t > 0 AND (e - s) / t > 0 THEN 1 / ((e - s) / t) - 1 ELSE 1000.0 END, 1000.0))) AS m
+  FROM (SELECT sum(pow(bad / n - {parent}, 2) * n) AS e, sum({parent} * (1 - {parent})) AS s,
+               sum({parent} * (1 - {parent}) * (n - 1)) AS t FROM {children})),
+{out} AS (SELECT *, (bad + m * {parent}) / (n + m) AS {mean}, n + m AS weight FROM {children}, {out}_m)"""
+
+
+def _bound(mean: str) -> str:
+    return f"{mean} - 1.645 * sqrt({mean} * (1 - {mean}) / (weight + 1)) AS bound"
+
+
+OP10 = f"""
+WITH urls AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+keys AS (
+  SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM urls),
+hosts AS (
+  SELECT host, domain, suffix, count(*) AS n, count(*) FILTER (WHERE quality = 0) AS bad
+  FROM keys JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY ALL),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+everything AS (SELECT coalesce(sum(n), 0) + 2.0 AS weight, (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS mean_all FROM suffixes),
+suffixes_1 AS (SELECT suffixes.*, mean_all FROM suffixes, everything),
+{_shrunk('suffixes_1', 'mean_all', 'mean_suffix', 'suffixes_2')},
+domains_1 AS (SELECT domains.*, mean_suffix FROM domains JOIN suffixes_2 USING (suffix)),
+{_shrunk('domains_1', 'mean_suffix', 'mean_domain', 'domains_2')},
+hosts_1 AS (SELECT hosts.*, mean_domain FROM hosts JOIN domains_2 USING (domain)),
+{_shrunk('hosts_1', 'mean_domain', 'mean_host', 'hosts_2')},
+judged AS (
+  SELECT page_id, k.host, path, coalesce(h.bound, d.bound, s.bound, e.bound) AS bound
+  FROM keys k LEFT JOIN (SELECT host, {_bound('mean_host')} FROM hosts_2) h ON h.host = k.host
+  LEFT JOIN (SELECT domain, {_bound('mean_domain')} FROM domains_2) d ON d.domain = k.domain
+  LEFT JOIN (SELECT suffix, {_bound('mean_suffix')} FROM suffixes_2) s ON s.suffix = k.suffix
+  CROSS JOIN (SELECT {_bound('mean_all')} FROM everything) e),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM judged)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+SQL = {
+    "op1_repetition": OP1, "op3_token_tallies": OP3, "op7_segment_top_k": OP7, "op8_substring_dedup": OP8,
+    "op10_host_reputation": OP10,
+}
