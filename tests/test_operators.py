@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxmetric.operators import (
-    audit, browse, enrichment, lookup, mapping, nps, quality, similarity, survey, text, themes, trends,
+    audit, browse, enrichment, mapping, nps, quality, similarity, survey, text, themes, trends,
 )
 from voxmetric.sources import reference_data as ref
 
@@ -84,10 +84,10 @@ def test_theme_rows(spark):
     assert [(x.response_id, x.hits) for x in only] == [(1, 3)]
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_dictionary_of_any_size(spark, monkeypatch, limit):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit)
-    monkeypatch.setattr(lookup.is_small, "__defaults__", (limit,))
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_dictionary_of_any_size(spark, limit):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     rng = random.Random(1)
     words = ["prijs", "Duur", "levering", "hot", "hot", "hot", "niche"]
     r = responses(spark, [(i, "A", i % 11, "2024-01-01") for i in range(200)])
@@ -96,6 +96,7 @@ def test_dictionary_of_any_size(spark, monkeypatch, limit):
     cols = ["response_id", "theme", "hits"]
     a = sorted(map(tuple, themes.assignments(r, e).select(*cols).collect()))
     b = sorted(map(tuple, themes.assignments_with_dictionary(r, e, synonyms).select(*cols).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert a == b
 
 

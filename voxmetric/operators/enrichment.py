@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cleaning, scores
-from ..session import stage
 from ..sources import reference_data as ref
 from .lookup import lookup_join
+from .nps import top_per_group
 from .text import classify_comment, matched_keywords
 
 COMPLETED, SKIPPED, FAILED = "completed", "skipped", "failed"
@@ -157,7 +157,7 @@ def _named(answers: DataFrame, dimension: DataFrame) -> DataFrame:
     catch-all.
     """
     known = dimension.select(F.col("name").alias("primary")).distinct().withColumn("known", F.lit(True))
-    rows = lookup_join(_clean_answers(answers), known, "primary", F.col("response_id"))
+    rows = lookup_join(_clean_answers(answers), known, "primary")
     adopted = (F.col("proposed") != "") & (
         (F.lower("primary") == F.lower("proposed")) | F.col("known").isNull()
     )
@@ -176,38 +176,47 @@ def _named(answers: DataFrame, dimension: DataFrame) -> DataFrame:
     ).withColumn("slug", cleaning.slug(F.col("name")))
 
 
+def _canonical(used: DataFrame, dimension: DataFrame) -> DataFrame:
+    """(slug, canonical, fresh) of every slug that is used or known.
+
+    The name of a known slug is the dimension's, that of a new one its first use.
+    """
+    at = F.struct("response_id", "position", "name")
+    first = used.groupBy("slug").agg(F.min(at).alias("use")).select("slug", F.col("use.name").alias("used"))
+    known = dimension.groupBy("slug").agg(F.min("name").alias("known"))
+    return first.join(known, "slug", "left").select(
+        "slug", F.coalesce("known", "used").alias("canonical"), F.col("known").isNull().alias("fresh")
+    )
+
+
+def one_answer(answers: DataFrame) -> DataFrame:
+    """One answer per response: the one with the highest confidence, then the largest.
+
+    Two answers of one response are never mixed.
+    """
+    rest = [c for c in answers.columns if c not in ("response_id", "confidence")]
+    order = [F.desc_nulls_last("confidence"), *[F.desc_nulls_last(c) for c in rest]]
+    return top_per_group(answers, ["response_id"], order, 1).drop("rank")
+
+
 def new_themes(answers: DataFrame, dimension: DataFrame) -> DataFrame:
     """Dimension rows (name, slug) to append: one per unseen slug, first use wins."""
-    used = _named(answers, dimension)
-    first = used.groupBy("slug").agg(
-        F.min_by("name", F.struct("response_id", "position")).alias("name")
-    )
-    return first.join(dimension.select("slug"), "slug", "left_anti").select("name", "slug")
+    found = _canonical(_named(one_answer(answers), dimension), dimension).filter("fresh")
+    return found.select(F.col("canonical").alias("name"), "slug")
 
 
-def reconcile(
-    answers: DataFrame, dimension: DataFrame, added: DataFrame | None = None
-) -> DataFrame:
+def reconcile(answers: DataFrame, dimension: DataFrame) -> DataFrame:
     """Answers with themes replaced by the names of the theme dimension.
 
-    Themes are matched by slug. ``added`` holds the rows ``new_themes`` found,
-    once they are written; without it they are staged here. Order is kept and
-    repeats are dropped. An accepted new theme becomes the primary theme and
-    leads the list.
+    Themes are matched by slug; a slug that the dimension lacks gets the name
+    that ``new_themes`` gives it. Order is kept and repeats are dropped. An
+    accepted new theme becomes the primary theme and leads the list. Nothing is
+    written and no job starts before the result is read.
     """
-    if added is None:
-        added = stage(new_themes(answers, dimension), "new-themes")
-    names = (
-        dimension.select("slug", "name")
-        .unionByName(added.select("slug", "name"))
-        .groupBy("slug")
-        .agg(F.min("name").alias("canonical"))
-    )
-    rows = lookup_join(_named(answers, dimension), names, "slug", F.col("response_id"))
+    used = _named(one_answer(answers), dimension)
+    rows = lookup_join(used, _canonical(used, dimension).drop("fresh"), "slug")
     grouped = rows.groupBy("response_id").agg(
-        F.first("sentiment").alias("sentiment"),
-        F.first("confidence").alias("confidence"),
-        F.first("primary").alias("primary"),
+        F.min(F.struct("sentiment", "confidence", "primary")).alias("answer"),
         F.array_sort(F.collect_list(F.struct("position", "name", "canonical"))).alias("e"),
     )
     proposal = F.try_element_at(
@@ -223,9 +232,9 @@ def reconcile(
     return grouped.select(
         "response_id",
         F.coalesce(
-            proposal, F.nullif(F.col("primary"), F.lit("")), themes[0]
+            proposal, F.nullif(F.col("answer.primary"), F.lit("")), themes[0]
         ).alias("primary_theme"),
         themes.alias("themes"),
-        "sentiment",
-        "confidence",
+        F.col("answer.sentiment").alias("sentiment"),
+        F.col("answer.confidence").alias("confidence"),
     )

@@ -4,37 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A dictionary of this many rows is broadcast; measured before each use.
-BROADCAST_ROWS = 200_000
-# Copies of a larger dictionary; also the number of tasks a hot key spreads over.
-SALTS = 64
 
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, reading no more than it must."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def lookup_join(
-    facts: DataFrame, dictionary: DataFrame, key: str, spread: Column
-) -> DataFrame:
+def lookup_join(facts: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """Left join on ``key``; ``dictionary`` must be unique on it.
 
-    A small dictionary is broadcast, so a key that holds a third of the facts
-    costs no shuffle. A larger one is joined on ``(key, salt)``: each hot key
-    is spread over ``SALTS`` tasks by the hash of ``spread`` (a row
-    identifier) and only the dictionary is copied.
+    No hint: the engine broadcasts a side that it has measured to be small, and
+    otherwise splits the partitions of a hot key, copying only the one
+    dictionary row. Building the plan starts no job.
     """
-    if is_small(dictionary):
-        return facts.join(F.broadcast(dictionary), key, "left")
-    salted = dictionary.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    return (
-        facts.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        .join(salted, [key, "salt"], "left")
-        .drop("salt")
-    )
+    return facts.join(dictionary, key, "left")
 
 
 def total_of(df: DataFrame, column: str) -> Column:

@@ -46,11 +46,13 @@ def reclassify(
     targets = responses.select(
         F.col("id").alias("response_id"), F.explode(found).alias("target")
     )
-    replaced = F.array_distinct(
-        F.transform(
-            "themes", lambda t: F.when(t == catch_all, F.col("target")).otherwise(t)
-        )
-    )
+    # Only repeats that the replacement makes go: the target is put where the
+    # first catch-all was, unless the list has it already.
+    others = F.filter("themes", lambda t: t.isNull() | (t != catch_all))
+    place = F.greatest(F.array_position("themes", catch_all).cast("int"), F.lit(1))
+    replaced = F.when(
+        F.array_contains(others, F.col("target")), others
+    ).otherwise(F.array_insert(others, place, F.col("target")))
     hit = F.array_contains("themes", catch_all) & F.col("target").isNotNull()
     return (
         enrichment.join(targets, "response_id", "left")
@@ -221,9 +223,10 @@ def hierarchy_members(theme_rows: DataFrame) -> DataFrame:
     return map_themes(theme_rows).drop("color")
 
 
-# A folded value weighs half of the next one, so after this many successors
-# it is below the smallest step of a double.
-_FOLD_DEPTH = 1000
+# A folded value weighs half of the next one. The smallest positive double is
+# 2^-1074 and no score or sentiment reaches 2^4, so the value with this many
+# successors is a product of exactly 0: leaving it out changes no result.
+_FOLD_DEPTH = 1080
 
 
 def hierarchy_folded(theme_rows: DataFrame) -> DataFrame:
@@ -334,10 +337,10 @@ def _with_categories(table: DataFrame, mains: DataFrame, subs: DataFrame) -> Dat
         F.col("description").alias("sub_category_description"),
         F.col("sort_order").alias("sub_order"),
     )
-    keyed = lookup_join(table, m, "main_category", F.col("original_theme")).withColumn(
+    keyed = lookup_join(table, m, "main_category").withColumn(
         "category_key", F.concat_ws("\u0001", "main_category", "sub_category")
     )
-    return lookup_join(keyed, s, "category_key", F.col("original_theme")).drop("category_key")
+    return lookup_join(keyed, s, "category_key").drop("category_key")
 
 
 def hierarchy_detail(table: DataFrame, mains: DataFrame, subs: DataFrame) -> DataFrame:

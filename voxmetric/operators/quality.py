@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -359,16 +359,33 @@ def repair_enrichment(enrichment: DataFrame, responses: DataFrame, tie: str) ->
     return newest_per_key(kept, "response_id", "created_at", tie)
 
 
+def one_per_key(rows: DataFrame, key: str, newest: Sequence[str] = ()) -> DataFrame:
+    """One row per key, the same one on every run."""
+    rest = [
+        F.to_json(c) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(c)
+        for c, f in ((f.name, f) for f in rows.schema)
+        if c != key and c not in newest
+    ]
+    order = [F.desc_nulls_last(c) for c in newest] + [c.desc_nulls_last() for c in rest]
+    return top_per_group(rows, [key], order or [F.lit(1).asc()], 1).drop("rank")
+
+
 def upsert(
     current: DataFrame,
     incoming: DataFrame,
     key: str,
     parents: DataFrame | None = None,
     parent_key: str = "id",
+    newest: Sequence[str] = (),
 ) -> DataFrame:
-    """New table contents: incoming rows with a parent replace those with the same key."""
+    """New table contents: incoming rows with a parent replace those with the same key.
+
+    Of incoming rows that share a key one stays: the largest by the columns
+    ``newest``, then by all its columns that can be compared.
+    """
     if parents is not None:
         incoming = with_parent(incoming, parents, key, parent_key)
+    incoming = one_per_key(incoming, key, newest)
     untouched = current.join(incoming.select(key), key, "left_anti")
     return untouched.unionByName(incoming)
 

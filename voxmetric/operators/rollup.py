@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import cleaning, scores
 from ..sources import reference_data as ref
-from .nps import top_per_group
 from .themes import Synonyms, canonical_theme
 
 _DIMENSIONS = {
@@ -75,15 +74,16 @@ def daily_rollup(
     """One row per survey and day: counts, net score, breakdown maps, top themes.
 
     Maps are gathered from counts, so an entry stands for a distinct value
-    and no group ever holds the responses themselves.
+    and no group ever holds the responses themselves. The maps hold the
+    vocabulary of a dimension, which must be of a size for one row. Counts are
+    made once and ranked in place.
     """
     keys = ["survey_name", "creation_date"]
     counts = facet_counts(responses, enrichment, synonyms)
-    is_theme = F.col("facet") == "theme"
-    ranked = top_per_group(
-        counts.filter(is_theme), keys, [F.desc("n"), F.asc("value")], top_themes
+    place = Window.partitionBy(*keys, "facet").orderBy(F.desc("n"), F.asc("value"))
+    rows = counts.withColumn("rank", F.row_number().over(place)).filter(
+        (F.col("facet") != "theme") | (F.col("rank") <= top_themes)
     )
-    rows = counts.filter(~is_theme).withColumn("rank", F.lit(0)).unionByName(ranked)
     n, value, name = F.col("n"), F.col("value"), F.col("facet")
 
     def bucket(label: str) -> Column:

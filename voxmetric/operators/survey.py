@@ -124,7 +124,12 @@ def _survey_totals(answers: DataFrame) -> DataFrame:
 
 
 def severity(answers: DataFrame) -> DataFrame:
-    """Severity of every theme: volume weight x sentiment impact."""
+    """Severity of every theme: volume weight x sentiment impact, worst first."""
+    return theme_severity(answers).orderBy("survey_id", F.desc("severity"), "theme")
+
+
+def theme_severity(answers: DataFrame) -> DataFrame:
+    """The rows of ``severity`` in no order, to calculate with."""
     totals = _survey_totals(answers).select("survey_id", "total")
     t = _theme_sums(answer_themes(answers)).join(totals, "survey_id")
     n = F.col("mentions")
@@ -149,13 +154,13 @@ def severity(answers: DataFrame) -> DataFrame:
         "unit_sum",
         F.round(negative_share, 6).alias("negative_share"),
         F.round(score, 6).alias("severity"),
-    ).orderBy("survey_id", F.desc("severity"), "theme")
+    )
 
 
 def ranked_severity(answers: DataFrame, k: int) -> DataFrame:
     """The ``k`` most severe themes of each survey with their rank."""
     return top_per_group(
-        severity(answers), ["survey_id"], [F.desc("severity"), F.asc("theme")], k
+        theme_severity(answers), ["survey_id"], [F.desc("severity"), F.asc("theme")], k
     )
 
 
@@ -496,46 +501,41 @@ def insight_records(insights: DataFrame) -> DataFrame:
 def merge_theme_records(records: DataFrame, *, samples: int = 5) -> DataFrame:
     """Theme rows with the same name (case and blanks aside) made one.
 
-    A theme row counts its mentions, at least one, towards the mean. Sample
-    lists are short by construction and few rows share a name: one per rerun.
+    A theme row counts its mentions, at least one, towards the mean. The sample
+    list holds the first ``samples`` different texts over all rows of the name,
+    in the order of the rows and of their lists.
     """
+    keys = ["survey_id", "theme_key"]
     n = F.coalesce("mention_count", F.lit(0))
     weight = F.when(n == 0, 1).otherwise(n)
     units = F.round(F.coalesce("sentiment_score", F.lit(0.0)) * _UNITS).cast("bigint")
     key = F.lower(cleaning.strip(F.col("theme_name")))
     numbered = records.withColumn("theme_key", key)
-    # Samples of the first rows are enough: each row holds at most a few.
-    first = top_per_group(
-        numbered.filter(F.size("sample_responses") > 0),
-        ["survey_id", "theme_key"],
-        [F.asc("id")],
-        samples,
-    ).groupBy("survey_id", "theme_key").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.slice("sample_responses", 1, samples).alias("s")))).alias("lists")
-    )
-    merged = numbered.groupBy("survey_id", "theme_key").agg(
+    texts = (
+        numbered.select(*keys, "id", F.posexplode("sample_responses").alias("place", "text"))
+        .groupBy(*keys, "text")
+        .agg(F.min(F.struct("id", "place")).alias("at"))
+    )
+    first = (
+        top_per_group(texts, keys, [F.asc("at")], samples)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("texts"))
+    )
+    merged = numbered.groupBy(*keys).agg(
         F.min("id").alias("id"),
         F.min_by("theme_name", "id").alias("theme_name"),
         F.sum(n).alias("mention_count"),
         F.sum(units * weight).alias("u"),
         F.sum(weight).alias("w"),
     )
-    return merged.join(first, ["survey_id", "theme_key"], "left").select(
+    return merged.join(first, keys, "left").select(
         "survey_id",
         "id",
         "theme_name",
         "mention_count",
         rounded_ratio(F.col("u"), F.col("w") * _UNITS, 4).alias("sentiment_score"),
-        F.slice(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.coalesce("lists", F.array().cast("array<struct<rank:int,s:array<string>>>")),
-                        lambda x: x["s"],
-                    )
-                )
-            ),
-            1, samples,
+        F.coalesce(
+            F.transform("texts", lambda x: x["text"]), F.array().cast("array<string>")
         ).alias("sample_responses"),
     )
 

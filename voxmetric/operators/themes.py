@@ -114,7 +114,7 @@ def assignments_with_dictionary(
         *extra,
         F.inline(theme_hits(F.col("named"))).alias("theme_key", "hits", "lead"),
     )
-    named = lookup_join(exploded, dictionary, "theme_key", F.col("response_id")).select(
+    named = lookup_join(exploded, dictionary, "theme_key").select(
         "response_id",
         *extra,
         F.coalesce("canonical", "theme_key").alias("theme"),

@@ -243,6 +243,14 @@ def monthly_trend(
     responses: DataFrame, *, digits: int = 2, by_survey: bool = False, **filters
 ) -> DataFrame:
     """Overall month trend for any filter set, optionally per survey."""
+    order = ["month", *(["survey_name"] if by_survey else [])]
+    return month_scores(responses, digits=digits, by_survey=by_survey, **filters).orderBy(*order)
+
+
+def month_scores(
+    responses: DataFrame, *, digits: int = 2, by_survey: bool = False, **filters
+) -> DataFrame:
+    """The rows of ``monthly_trend`` in no order, to calculate with."""
     rows = monthly(apply_filters(responses, **filters))
     keys = ["month", "survey_type"] if by_survey else ["month"]
     return (
@@ -258,7 +266,6 @@ def monthly_trend(
             "passives",
             "detractors",
         )
-        .orderBy("month", *(["survey_name"] if by_survey else []))
     )
 
 
@@ -270,9 +277,9 @@ def survey_pivot(
     The caller names the surveys (see ``filter_options``), which spares the
     extra pass that an open pivot needs.
     """
-    trend = monthly_trend(responses, digits=1, by_survey=True, **filters)
+    trend = month_scores(responses, digits=1, by_survey=True, **filters)
     return (
-        trend.groupBy("month").pivot("survey_name", surveys).agg(F.first("nps_score"))
+        trend.groupBy("month").pivot("survey_name", surveys).agg(F.max("nps_score"))
     )
 
 

@@ -243,14 +243,20 @@ def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def question_count(spark: SparkSession, sf_dir: str) -> int:
+    """Columns a wide upload needs: one per turn of the longest conversation."""
+    return (table(spark, sf_dir, "conversations").agg(F.max("turn")).first()[0] or 0) + 1
+
+
 def wide_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide upload rows: one respondent per conversation, one column per turn."""
     c = table(spark, sf_dir, "conversations")
+    turns = range(question_count(spark, sf_dir))
     columns = [
         F.coalesce(F.max(F.when(F.col("turn") == t, F.col("text"))), F.lit("")).alias(
             f"question_{t + 1}_feedback"
         )
-        for t in range(8)
+        for t in turns
     ]
     return c.groupBy("conv_id").agg(
         *columns, F.max("role").alias("segment"), F.count(F.lit(1)).cast("string").alias("size")
@@ -263,7 +269,7 @@ def wide_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("conv_id") % 7 == 3, F.lit(" kort "))
             .otherwise(F.col(f"question_{t + 1}_feedback"))
             .alias(f"question_{t + 1}_feedback")
-            for t in range(8)
+            for t in turns
         ],
         F.when(F.col("conv_id") % 3 != 0, F.col("segment")).otherwise("").alias("segment"),
         "size",

@@ -21,15 +21,18 @@ def _rules(*sets):
     )
 
 
-def _after(*sets):
+def _after(*sets, source="enrichment"):
     return f"""{_rules(*sets)},
       targets as (select c.id, arg_min(r.target, r.position) as target
         from commented c join rules r on contains(lower(c.nps_explanation), r.keyword) group by c.id),
       after as (select e.* exclude (themes), case when t.target is null
-            or not list_contains(e.themes, 'overige') then e.themes
-          else list_transform(e.themes, lambda x: case when x = 'overige' then t.target else x end)
+            or not coalesce(list_contains(e.themes, 'overige'), false) then e.themes
+          when list_contains(list_filter(e.themes, lambda x: x <> 'overige'), t.target)
+            then list_filter(e.themes, lambda x: x <> 'overige')
+          else list_concat(e.themes[:list_position(e.themes, 'overige') - 1], [t.target],
+            list_filter(e.themes[list_position(e.themes, 'overige') + 1:], lambda x: x <> 'overige'))
           end as themes
-        from enrichment e left join targets t on t.id = e.response_id)"""
+        from {source} e left join targets t on t.id = e.response_id)"""
 
 
 def _flat(df):
@@ -48,6 +51,24 @@ for _name, _sets in (
             array_to_string(themes, '|') as themes from after"""
         ),
     )
+_REPEATS = """doubled as (select * replace (
+      case when response_id % 3 = 0 then list_concat(themes, themes) else themes end as themes) from enrichment)"""
+
+
+def _repeated(t):
+    """Enrichment whose lists name every theme twice in some rows."""
+    twice = F.when(F.col("response_id") % 3 == 0, F.concat("themes", "themes"))
+    return t.enrichment.withColumn("themes", F.coalesce(twice, "themes"))
+
+
+add(
+    "reclassify_repeats", "MAP-1 Q22",
+    lambda t: _flat(mapping.reclassify(_repeated(t), t.commented, *ALL_RULES)),
+    with_commented_enrichment(
+        f""", {_REPEATS}, {_after(*ALL_RULES, source="doubled")} select response_id,
+        array_to_string(themes, '|') as themes from after"""
+    ),
+)
 add(
     "reclassify_by_summary", "MAP-2",
     lambda t: _flat(mapping.reclassify_by_summary(t.enrichment)),

@@ -250,6 +250,25 @@ def _upsert(t):
     )
 
 
+def _upsert_repeats(t):
+    """Every incoming key comes three times; the newest version of it wins."""
+    rows = quality.newest_per_key(_versions(t), "response_id", "created_at", "row_id")
+    current = rows.filter(F.col("version") < 30)
+    times = F.explode(F.array(*[F.lit(x) for x in (200, 300, 100)])).alias("plus")
+    incoming = rows.filter((F.col("version") % 2) == 0).select("*", times)
+    incoming = incoming.withColumn("version", F.col("version") + F.col("plus")).drop("plus")
+    return quality.upsert(current, incoming, "response_id", t.responses, newest=["version"]).select(
+        "response_id", "row_id", "version"
+    )
+
+
+_UPSERTED = f"""with {_VERSIONS}, n as (select * from (select *, row_number() over (
+        partition by response_id order by created_at desc, row_id desc) as rn from versions) where rn = 1),
+      incoming as (select * from n where version % 2 = 0 and response_id in (select o_orderkey from orders))
+      select response_id, row_id, version + 300 as version from incoming
+      union all select response_id, row_id, version from n
+        where version < 30 and response_id not in (select response_id from incoming)"""
+add("upsert_repeated_keys", "DQ-11", _upsert_repeats, _UPSERTED)
 add(
     "upsert_enrichment", "DQ-11 JN-11",
     _upsert,

@@ -262,30 +262,36 @@ add(
 
 
 def _reruns(t):
-    """Theme rows of a survey processed twice, the second time in upper case."""
+    """Theme rows of a survey processed eight times, later times in upper case.
+
+    Only the last time brings a sample that the others do not have.
+    """
     r = survey.theme_records(t.answers)
-    first = r.withColumn("id", F.concat_ws(":", F.lit("a"), "survey_id", "theme_name"))
-    again = r.withColumns(
+    runs = F.explode(F.array(*[F.lit(x) for x in "abcdefgh"])).alias("run")
+    later = F.col("run") > "a"
+    new = F.when(F.col("run") == "h", F.array(F.concat(F.lit("nieuw "), F.lower("theme_name"))))
+    return r.select("*", runs).withColumns(
         {
-            "id": F.concat_ws(":", F.lit("b"), "survey_id", "theme_name"),
-            "theme_name": F.upper("theme_name"),
-            "mention_count": F.col("mention_count") + 1,
+            "id": F.concat_ws(":", "run", "survey_id", "theme_name"),
+            "sample_responses": F.concat(
+                "sample_responses", F.coalesce(new, F.array().cast("array<string>"))
+            ),
+            "mention_count": F.col("mention_count") + later.cast("int"),
+            "theme_name": F.when(later, F.upper("theme_name")).otherwise(F.col("theme_name")),
         }
-    )
-    return first.unionByName(again)
+    ).drop("run")
 
 
 add(
     "survey_merged_themes", "SVY-11",
-    lambda t: survey.merge_theme_records(_reruns(t)).withColumn(
-        "sample_responses", F.size("sample_responses")
-    ),
+    lambda t: _flat(survey.merge_theme_records(_reruns(t)), "sample_responses"),
     with_answers(
         f""", {_RECORDS}
         select survey_id, 'a:' || survey_id || ':' || theme_name as id, theme_name,
-          cast(2 * mention_count + 1 as bigint) as mention_count,
-          {ratio('cast(round(sentiment_score * 10000) as bigint) * (2 * mention_count + 1)', '(2 * mention_count + 1) * 10000', 4)} as sentiment_score,
-          cast(least(5, len(list_distinct(samples))) as int) as sample_responses from records"""
+          cast(8 * mention_count + 7 as bigint) as mention_count,
+          {ratio('cast(round(sentiment_score * 10000) as bigint) * (8 * mention_count + 7)', '(8 * mention_count + 7) * 10000', 4)} as sentiment_score,
+          array_to_string(list_concat(list_filter(samples, lambda x, i: list_position(samples, x) = i),
+            ['nieuw ' || lower(theme_name)])[:5], '{SEP}') as sample_responses from records"""
     ),
 )
 add(
@@ -408,13 +414,14 @@ add(
 
 # ------------------------------------------------------------------- upload
 
-_QUESTIONS = [f"question_{i}_feedback" for i in range(1, 9)]
-_HEADER_ROW = ["participant_id", *_QUESTIONS, "segment", "size"]
+def _header_row(t):
+    n = bindings.question_count(t.spark, t.sf_dir)
+    return ["participant_id", *[f"question_{i + 1}_feedback" for i in range(n)], "segment", "size"]
 
 
 def _upload_long(t):
     raw = upload.tidy(bindings.wide_upload(t.spark, t.sf_dir), keep=("survey_id", "file_order"))
-    long = upload.to_long(raw, upload.detect_structure(_HEADER_ROW))
+    long = upload.to_long(raw, upload.detect_structure(_header_row(t)))
     return long.withColumn(
         "metadata",
         F.array_join(

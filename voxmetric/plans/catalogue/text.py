@@ -235,21 +235,22 @@ _RECONCILED = f"""{_ANSWER_FIELDS}, {_KNOWN},
       trim(coalesce(new_theme, '')) as proposed,
       list_filter(list_transform(themes, lambda x: trim(x)), lambda x: x <> '') as themes from parsed),
   decided as (select *, proposed <> '' and (lower(prim) = lower(proposed)
-      or prim not in (select name from known)) as adopted from tidy),
+      or k.name is null) as adopted from tidy left join (select distinct name from known) k on k.name = prim),
   entries as (
     select response_id, u.ord - 1 as pos, u.t as name from decided d, unnest(d.themes) with ordinality as u(t, ord)
     union all select response_id, -1, proposed from decided where adopted
     union all select response_id, 0, 'overige' from decided where not adopted and len(themes) = 0),
   slugged as (select *, {_slug('name')} as slug from entries),
-  fresh as (select slug, arg_min(name, response_id * 1000 + pos) as name from slugged
-    where slug not in (select slug from dim) group by slug),
+  fresh as (select s.slug, arg_min(s.name, response_id * 1000 + pos) as name from slugged s
+    left join (select distinct slug from dim) d on d.slug = s.slug where d.slug is null group by s.slug),
   named as (select s.*, coalesce(d.name, f.name) as canonical from slugged s
     left join (select slug, min(name) as name from dim group by slug) d on d.slug = s.slug
     left join fresh f on f.slug = s.slug),
   proposal as (select response_id, canonical from named where pos = -1),
-  kept as (select n.* from named n left join proposal p on p.response_id = n.response_id
-    where n.pos >= 0 or not exists (select 1 from named x where x.response_id = n.response_id
-      and x.pos >= 0 and x.name = p.canonical)),
+  present as (select distinct x.response_id from named x join proposal p on p.response_id = x.response_id
+    where x.pos >= 0 and x.name = p.canonical),
+  kept as (select n.* from named n left join present q on q.response_id = n.response_id
+    where n.pos >= 0 or q.response_id is null),
   listed as (select response_id, list(canonical order by first_at) as themes from
     (select response_id, canonical, min(pos) as first_at from kept group by all) group by response_id)"""
 add(
