@@ -249,7 +249,7 @@ def test_reconcile(spark):
 # ------------------------------------------------------------------ vectors
 
 
-def test_nearest_against_brute_force(spark):
+def test_nearest_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(400, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "response_id bigint, embedding array<double>").repartition(5)
@@ -257,13 +257,26 @@ def test_nearest_against_brute_force(spark):
     sims = unit @ unit[17]
     want = [int(i) for i in np.argsort(-sims) if i != 17][:9]
     assert [x.response_id for x in similarity.nearest_to_response(df, 17, 9).collect()] == want
-    many = similarity.nearest_to_many(df, df.filter("response_id in (17, 18)"), 9)
+    many = similarity.nearest_to_many(df, df.filter("response_id in (17, 18)"), 8, 9)
     assert [x.response_id for x in many.filter("query_id = 17").orderBy("rank").collect()] == want
-    centroids, listed = similarity.build_lists(df, lists=8, iterations=3)
+    centroids = similarity.fit_centroids(df, 8, lists=8, iterations=3)
+    similarity.write_lists(similarity.assign_lists(df, centroids), str(tmp_path / "lists"))
+    listed = spark.read.parquet(str(tmp_path / "lists"))
     near = similarity.nearest_in_lists(listed, centroids, m[17].tolist(), k=10, probes=8).collect()
     assert [x.response_id for x in near] == [17, *want]
     few = {x.response_id for x in similarity.nearest_in_lists(listed, centroids, m[17].tolist(), k=10, probes=4).collect()}
     assert len(few & {17, *want}) >= 5
+    plan = similarity.nearest_in_lists(listed, centroids, m[17].tolist(), k=10, probes=2)
+    assert "PartitionFilters: [list_id" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_without_direction_take_no_part(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "response_id bigint, embedding array<double>")
+    assert [(x.response_id, x.similarity) for x in similarity.nearest_to_vector(df, [1.0, 0.0], 9).collect()] == [(2, 1.0), (5, 1.0), (3, 0.0)]
+    many = similarity.nearest_to_many(df, df, 2, 1).collect()
+    assert sorted((x.query_id, x.response_id) for x in many) == [(2, 5), (3, 2), (5, 2)]
+    assert similarity.fit_centroids(df, 2, lists=2).shape == (2, 2)
 
 
 # ------------------------------------------------------------------- survey

@@ -7,18 +7,19 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import batch_top_k
+from ..functions.vectors import nearest_centroid, nearest_pairs, nearest_rows, unit_rows
 from .nps import top_per_group
 
-_HIT = "query_id bigint, response_id bigint, similarity double"
-# Queries of one batch; their vectors travel to every task.
-MAX_QUERIES = 10_000
+# Expected queries of a block and rows of a shard; a group holds one of each.
+BLOCK, SHARD = 1024, 16_384
 
 
 def _usable(embeddings: DataFrame, width: int) -> DataFrame:
-    return embeddings.filter(F.size("embedding") == width).select("response_id", "embedding")
+    """Vectors of the width that have a direction; all others have no cosine."""
+    lengthy = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x) > 0
+    return embeddings.filter((F.size("embedding") == width) & lengthy).select("response_id", "embedding")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -30,9 +31,9 @@ def nearest_to_vector(
     embeddings: DataFrame, vector: Sequence[float], k: int = 10
 ) -> DataFrame:
     """The ``k`` responses closest to a query vector: ``1 - cosine distance``."""
-    q = np.asarray([vector], dtype="float64")
-    run = batch_top_k(q, np.asarray([-1]), k, skip_self=False)
-    return _ranked(_usable(embeddings, len(vector)).mapInArrow(run, _HIT), k)
+    run = nearest_rows(np.asarray(vector, dtype="float64"), k)
+    found = _usable(embeddings, len(vector)).mapInArrow(run, "response_id bigint, similarity double")
+    return _ranked(found, k)
 
 
 def vector_of(embeddings: DataFrame, response_id: int) -> list[float]:
@@ -49,19 +50,34 @@ def nearest_to_response(embeddings: DataFrame, response_id: int, k: int = 10) ->
     return nearest_to_vector(others, vector_of(embeddings, response_id), k)
 
 
-def nearest_to_many(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def _parts(df: DataFrame, name: str, size: int) -> tuple[Column, Column]:
+    """A part of about ``size`` rows by hash of the id, and all parts, as columns.
+
+    The number of parts is a scalar of the same query, so no job starts early.
+    """
+    n = df.agg(F.floor(F.count(F.lit(1)) / size) + 1).scalar()
+    return F.pmod(F.xxhash64("response_id"), n).alias(name), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias(name)
+
+
+def nearest_to_many(
+    embeddings: DataFrame, queries: DataFrame, width: int, k: int = 10
+) -> DataFrame:
     """The ``k`` nearest responses of each query response, ranked.
 
-    Each batch of vectors is compared with all queries at once and keeps k
-    rows per query; no pair beyond those is emitted. ``queries`` is limited in
-    number because its vectors are sent to every task.
+    Queries are dealt into blocks and embeddings into shards; each (block,
+    shard) is one group of bounded size that returns k rows per query. Any
+    number of queries can be given; they never pass through the driver.
     """
-    rows = queries.select("response_id", "embedding").limit(MAX_QUERIES + 1).toPandas()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries per call")
-    m = np.asarray(rows["embedding"].tolist(), dtype="float64")
-    run = batch_top_k(m, rows["response_id"].to_numpy(), k, skip_self=True)
-    hits = _usable(embeddings, m.shape[1]).mapInArrow(run, _HIT)
+    rows, asked = _usable(embeddings, width), _usable(queries, width)
+    block, blocks = _parts(asked, "block", BLOCK)
+    shard, shards = _parts(rows, "shard", SHARD)
+    left = asked.select("*", block).select("*", shards)
+    right = rows.select("*", shard).select("*", blocks)
+    hits = (
+        left.groupBy("block", "shard")
+        .cogroup(right.groupBy("block", "shard"))
+        .applyInArrow(nearest_pairs(k), "query_id bigint, response_id bigint, similarity double")
+    )
     return top_per_group(
         hits, ["query_id"], [F.desc("similarity"), F.asc("response_id")], k
     )
@@ -78,29 +94,38 @@ def with_responses(hits: DataFrame, responses: DataFrame, *columns: str) -> Data
 # ------------------------------------------------------- approximate search
 
 
-def build_lists(
-    embeddings: DataFrame, *, lists: int = 100, seed: int = 17, iterations: int = 10
-) -> tuple[np.ndarray, DataFrame]:
-    """Centroids and embeddings with the id of their nearest centroid.
-
-    Write the result partitioned by ``list_id``: a search then reads only the
-    probed lists.
-    """
-    data = embeddings.filter(F.col("embedding").isNotNull()).withColumn(
-        "features", array_to_vector(F.col("embedding").cast("array<double>"))
+def fit_centroids(
+    embeddings: DataFrame, width: int, *, lists: int = 100, seed: int = 17, iterations: int = 10
+) -> np.ndarray:
+    """Centroids of an index, by k-means on the directions of all embeddings."""
+    data = _usable(embeddings, width).select(
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
     model = KMeans(
-        k=lists, seed=seed, maxIter=iterations, distanceMeasure="cosine",
-        featuresCol="features", predictionCol="list_id",
+        k=lists, seed=seed, maxIter=iterations, distanceMeasure="cosine", featuresCol="features"
     ).fit(data)
-    return np.asarray(model.clusterCenters()), model.transform(data).drop("features")
+    return np.asarray(model.clusterCenters())
+
+
+def assign_lists(embeddings: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(response_id, embedding, list_id): the list of the most similar centroid.
+
+    Equal similarities go to the smaller list id. No shuffle.
+    """
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    return _usable(embeddings, centroids.shape[1]).mapInArrow(
+        nearest_centroid(centroids), f"response_id bigint, embedding {kind}, list_id int"
+    )
+
+
+def write_lists(listed: DataFrame, path: str) -> None:
+    """Store an index: a search reads only the folders of its lists."""
+    listed.hint("rebalance", "list_id").write.partitionBy("list_id").parquet(path)
 
 
 def probe_lists(centroids: np.ndarray, vector: Sequence[float], probes: int) -> list[int]:
     """Ids of the lists whose centroids are nearest to the query."""
-    q = np.asarray(vector, dtype="float64")
-    norms = np.linalg.norm(centroids, axis=1) * np.linalg.norm(q)
-    sims = np.divide(centroids @ q, norms, out=np.zeros(len(centroids)), where=norms > 0)
+    sims = unit_rows(np.asarray(centroids, dtype="float64")) @ unit_rows(np.asarray([vector], dtype="float64"))[0]
     return [int(i) for i in np.argsort(-sims, kind="stable")[:probes]]
 
 

@@ -52,7 +52,7 @@ for _name, _sets in (
         ),
     )
 _REPEATS = """doubled as (select * replace (
-      case when response_id % 3 = 0 then list_concat(themes, themes) else themes end as themes) from enrichment)"""
+      case when response_id % 3 = 0 and themes is not null then list_concat(themes, themes) else themes end as themes) from enrichment)"""
 
 
 def _repeated(t):

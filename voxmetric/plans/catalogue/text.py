@@ -1,8 +1,12 @@
 """Key words, keyword themes, model output and vector similarity."""
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ...operators import enrichment, similarity, text, themes
+from ...session import staging_root
 from ...sources import reference_data as ref
 from .. import bindings
 from .base import (
@@ -335,10 +339,11 @@ add(
       from n join orders on o_orderkey = n.response_id join customer on c_custkey = o_custkey
         join nation on n_nationkey = c_nationkey""",
 )
+WIDTH = 64
 add(
     "similar_to_many", "VEC-2",
     lambda t: _rounded(
-        similarity.nearest_to_many(t.embeddings, t.embeddings.filter(F.col("label") == 3), 5)
+        similarity.nearest_to_many(t.embeddings, t.embeddings.filter(F.col("label") == 3), WIDTH, 5)
     ),
     f"""select query_id, response_id, similarity, cast(rank as int) as rank from (
       select q.vec_id as query_id, e.vec_id as response_id, {_SIM} as similarity,
@@ -346,17 +351,68 @@ add(
       from embeddings e, embeddings q where q.label = 3 and e.vec_id <> q.vec_id) where rank <= 5""",
 )
 
+# An index whose centroids are the first embeddings, so that SQL can assign too.
+_LISTS, _PROBES = 20, 5
+_INDEX = f"""c as (select vec_id as list_id, embedding from embeddings where vec_id < {_LISTS}),
+  listed as (select e.vec_id, arg_min(c.list_id, (-{_SIM.replace('q.', 'c.').replace(', 6)', ', 12)')}, c.list_id)) as list_id
+    from embeddings e, c group by e.vec_id),
+  probed as (select c.list_id from c, embeddings q where q.vec_id = 7
+    order by {_SIM.replace('e.', 'c.').replace(', 6)', ', 12)')} desc, c.list_id limit {_PROBES})"""
 
-def _listed(t, probes):
-    centroids, listed = similarity.build_lists(t.embeddings, lists=20, iterations=5)
-    vector = similarity.vector_of(t.embeddings, 7)
-    return _rounded(similarity.nearest_in_lists(listed, centroids, vector, k=15, probes=probes))
+
+def _centroids(t):
+    rows = t.embeddings.filter(F.col("response_id") < _LISTS).orderBy("response_id").collect()
+    return np.asarray([r.embedding for r in rows], dtype="float64")
+
+
+def _index(t):
+    """The index written to the shared folder and read back."""
+    path = f"{staging_root(t.spark)}/lists-{uuid.uuid4().hex}"
+    similarity.write_lists(similarity.assign_lists(t.embeddings, _centroids(t)), path)
+    return t.spark.read.parquet(path)
 
 
+add(
+    "similar_lists", "VEC-3",
+    lambda t: similarity.assign_lists(t.embeddings, _centroids(t)).select("response_id", "list_id"),
+    f"with {_INDEX} select vec_id as response_id, cast(list_id as int) as list_id from listed",
+)
 add(
     "similar_all_lists", "VEC-3",
-    lambda t: _listed(t, 20),
+    lambda t: _rounded(
+        similarity.nearest_in_lists(
+            _index(t), _centroids(t), similarity.vector_of(t.embeddings, 7), k=15, probes=_LISTS
+        )
+    ),
     f"""select e.vec_id as response_id, {_SIM} as similarity from embeddings e, embeddings q
       where q.vec_id = 7 order by 2 desc, 1 limit 15""",
 )
-add("similar_probed_lists", "VEC-3", lambda t: _listed(t, 5))
+add(
+    "similar_probed_lists", "VEC-3",
+    lambda t: _rounded(
+        similarity.nearest_in_lists(
+            _index(t), _centroids(t), similarity.vector_of(t.embeddings, 7), k=15, probes=_PROBES
+        )
+    ),
+    f"""with {_INDEX} select e.vec_id as response_id, {_SIM} as similarity
+      from embeddings e join listed l on l.vec_id = e.vec_id join probed p on p.list_id = l.list_id, embeddings q
+      where q.vec_id = 7 order by 2 desc, 1 limit 15""",
+)
+
+
+def _recall(t):
+    """Share of the exact nearest responses that the probed lists hold."""
+    vector = similarity.vector_of(t.embeddings, 7)
+    exact = similarity.nearest_to_vector(t.embeddings, vector, 15).select("response_id")
+    near = similarity.nearest_in_lists(_index(t), _centroids(t), vector, k=15, probes=_PROBES)
+    hits = exact.join(near.select("response_id", F.lit(1).alias("hit")), "response_id", "left")
+    return hits.agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted"))
+
+
+add(
+    "similar_recall", "VEC-3",
+    _recall,
+    f"""with {_INDEX}, exact as (select e.vec_id, l.list_id from embeddings e
+        join listed l on l.vec_id = e.vec_id, embeddings q where q.vec_id = 7 order by {_SIM} desc, 1 limit 15)
+      select count(p.list_id) as found, count(*) as wanted from exact left join probed p on p.list_id = exact.list_id""",
+)
