@@ -44,8 +44,8 @@ def test_scores(spark):
 
 def test_dates(spark):
     d = dt.date
-    values = ["01/02/2024", "12/25/2024", "2024-02-01", "1-2-2024", "1.2.2024", "  ", "31/31/2000", "2024-05-06T07:08:09Z", "3 Mar 2024"]
-    want = [d(2024, 2, 1), d(2024, 12, 25), d(2024, 2, 1), d(2024, 2, 1), d(2024, 2, 1), None, None, d(2024, 5, 6), d(2024, 3, 3)]
+    values = ["01/02/2024", "12/25/2024", "2024-02-01", "1-2-2024", "1.2.2024", "  ", "31/31/2000", "2024-05-06T07:08:09Z", "3 Mar 2024", "01/02/24", "1/2/2024 10:15:00", "12/31/99", "3-4-70", "5.6.68"]
+    want = [d(2024, 2, 1), d(2024, 12, 25), d(2024, 2, 1), d(2024, 2, 1), d(2024, 2, 1), None, None, d(2024, 5, 6), d(2024, 3, 3), d(2024, 2, 1), d(2024, 2, 1), d(1999, 12, 31), d(1970, 4, 3), d(2068, 6, 5)]
     assert column(spark, values, cleaning.parse_date) == want
     assert column(spark, ["01/02/2024"], lambda c: cleaning.parse_date(c, month_first=True)) == [d(2024, 1, 2)]
     assert column(spark, [45000], cleaning.serial_date, "int") == [d(2023, 3, 15)]

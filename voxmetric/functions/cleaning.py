@@ -29,11 +29,19 @@ DATE_LAYOUTS = (
     (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.yyyy"),
     (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "d/M/yyyy H:mm"),
     (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "d-M-yyyy H:mm"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "d/M/yyyy H:mm:ss"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "d-M-yyyy H:mm:ss"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "d/M/yy"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "M/d/yy"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$", "d-M-yy"),
+    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2}$", "d.M.yy"),
     (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
     (r"^[0-9]{8}$", "yyyyMMdd"),
     (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM yyyy"),
     (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", "d MMMM yyyy"),
 )
+# A year of two digits from here on belongs to the last century.
+_CENTURY_TURNS = 2069
 _ISO_STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"
 
 MISSING_COMMENTS = ("", "n.v.t.", "nvt")
@@ -67,6 +75,12 @@ def score(col: Column) -> Column:
     return let(strip(col.cast("string"), SPACES_WITH_CONTROLS), parse)
 
 
+def _century(day: Column, layout: str) -> Column:
+    if "yyyy" in layout:
+        return day
+    return F.when(F.year(day) >= _CENTURY_TURNS, F.add_months(day, -1200)).otherwise(day)
+
+
 def parse_date(col: Column, *, month_first: bool = False) -> Column:
     """Date text in any accepted layout, else NULL."""
     day_first, us_style, *others = DATE_LAYOUTS
@@ -74,7 +88,7 @@ def parse_date(col: Column, *, month_first: bool = False) -> Column:
 
     def parse(text: Column) -> Column:
         attempts = [
-            F.when(text.rlike(shape), F.try_to_date(text, layout))
+            F.when(text.rlike(shape), _century(F.try_to_date(text, layout), layout))
             for shape, layout in [*head, *others]
         ]
         stamp = F.when(text.rlike(_ISO_STAMP), F.try_to_date(F.substring(text, 1, 10)))

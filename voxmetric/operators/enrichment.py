@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import schemas
 from ..functions import cleaning, scores
 from ..sources import reference_data as ref
 from .lookup import lookup_join
 from .nps import top_per_group
-from .text import classify_comment, matched_keywords
+from .text import classify_comment, matched_keywords, theme_scores
 
 COMPLETED, SKIPPED, FAILED = "completed", "skipped", "failed"
 SCORED = "themes array<string>, sentiment_score decimal(3,2), keywords array<string>"
@@ -37,7 +38,7 @@ def enrich(pending_rows: DataFrame, model: str = "taxonomy") -> DataFrame:
         F.lit(None).cast("decimal(3,2)").alias("sentiment_score"),
         F.when(text.isNotNull(), matched_keywords(text)).alias("keywords"),
     )
-    return build_records(scored, model)
+    return build_records(scored.withColumn("theme_scores", theme_scores(F.col("keywords"))), model)
 
 
 def enrich_with(
@@ -48,42 +49,29 @@ def enrich_with(
     """Enrichment rows by a custom scorer that takes a batch of comments.
 
     ``scorer`` returns themes, sentiment_score and keywords aligned with its
-    input. A batch that raises is retried comment by comment, and only the
-    comments that raise again are marked ``failed``.
+    input. A batch that raises is halved until the comments that raise alone
+    are found; only those are marked ``failed``.
     """
 
-    def score(texts: pd.Series) -> pd.DataFrame:
+    names = ("themes", "sentiment_score", "keywords")
+
+    def score(texts: pd.Series) -> list[tuple]:
         try:
-            return scorer(texts).set_index(texts.index).assign(ok=True)
+            result = scorer(texts)
+            return list(zip(*(result[name] for name in names), [COMPLETED] * len(texts), strict=True))
         except Exception:
-            parts = []
-            for i in texts.index:
-                try:
-                    one = scorer(texts.loc[[i]]).set_index(pd.Index([i])).assign(ok=True)
-                except Exception:
-                    one = pd.DataFrame(
-                        {"themes": [None], "sentiment_score": [None], "keywords": [None], "ok": [False]},
-                        index=[i],
-                    )
-                parts.append(one)
-            return pd.concat(parts)
+            if len(texts) == 1:
+                return [(None, None, None, FAILED)]
+            half = len(texts) // 2
+            return score(texts.iloc[:half]) + score(texts.iloc[half:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["response_id", "nps_score"]].copy()
-            has_text = batch["comment"].notna()
-            out["processing_status"] = SKIPPED
-            for name in ("themes", "sentiment_score", "keywords"):
-                out[name] = None
-            if has_text.any():
-                result = score(batch.loc[has_text, "comment"])
-                out.loc[has_text, "processing_status"] = [
-                    COMPLETED if ok else FAILED for ok in result["ok"]
-                ]
-                for name in ("themes", "sentiment_score", "keywords"):
-                    out[name] = result[name].reindex(out.index).astype(object)
-                    out[name] = out[name].where(has_text, None)
-            yield out
+            texts = batch["comment"].dropna()
+            found = dict(zip(texts.index, score(texts) if len(texts) else []))
+            rows = [found.get(i, (None, None, None, SKIPPED)) for i in batch.index]
+            scored = pd.DataFrame(rows, columns=[*names, "processing_status"], index=batch.index)
+            yield pd.concat([batch[["response_id", "nps_score"]], scored], axis=1)
 
     rows = pending_rows.select(
         F.col("id").alias("response_id"),
@@ -92,27 +80,41 @@ def enrich_with(
     )
     scored = rows.mapInPandas(
         run,
-        "response_id bigint, nps_score int, processing_status string, "
-        "themes array<string>, sentiment_score double, keywords array<string>",
+        "response_id bigint, nps_score int, themes array<string>, sentiment_score double, "
+        "keywords array<string>, processing_status string",
     ).withColumn("sentiment_score", F.col("sentiment_score").cast("decimal(3,2)"))
     return build_records(scored, model)
 
 
 def build_records(scored: DataFrame, model: str, language: str = "nl") -> DataFrame:
-    """Enrichment rows from scored comments: label, flags, summary, status."""
+    """Enrichment rows from scored comments: label, flags, summary, status.
+
+    What a scorer does not give is null: ``theme_scores``, ``confidence``,
+    ``embedding``. ``created_at`` is the time of the run.
+    """
     size = F.coalesce(F.array_size("themes"), F.lit(0))
+
+    def given(name: str) -> Column:
+        kind = schemas.ENRICHMENT[name].dataType
+        value = F.col(name) if name in scored.columns else F.lit(None)
+        return value.cast(kind).alias(name)
+
     return scored.select(
         "response_id",
         "themes",
         F.try_element_at("themes", F.lit(1)).alias("primary_theme"),
+        given("theme_scores"),
         "sentiment_score",
         scores.sentiment_label(F.col("sentiment_score")).alias("sentiment_label"),
         "keywords",
+        given("confidence"),
+        given("embedding"),
         *scores.flags(F.col("nps_score")),
         F.concat(F.lit("Analyse van "), size.cast("string"), F.lit(" thema's")).alias("summary"),
         "processing_status",
         F.lit(model).alias("model"),
         F.lit(language).alias("language"),
+        F.current_timestamp().alias("created_at"),
     )
 
 

@@ -216,6 +216,23 @@ def matched_keywords(
     )
 
 
+def theme_scores(
+    keywords: Column, taxonomy: Sequence[tuple[str, Sequence[str]]] = ref.COMMENT_TAXONOMY
+) -> Column:
+    """Label to the share of its taxonomy keywords among those found in a comment."""
+    shares = F.array(
+        *[
+            F.struct(
+                F.lit(label).alias("label"),
+                (F.size(F.array_intersect(keywords, word_array(kws))) / F.lit(len(set(kws)))).alias("share"),
+            )
+            for label, kws in taxonomy
+        ]
+    )
+    found = F.map_from_entries(F.filter(shares, lambda s: s["share"] > 0))
+    return F.when(keywords.isNotNull(), found)
+
+
 # ------------------------------------------------------- model output text
 
 _ANSWER = (

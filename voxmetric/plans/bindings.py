@@ -74,12 +74,13 @@ def _after_midnight(stamp: Column, seconds: Column) -> Column:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Narrow rows over all cores, before text is joined to or made from them.
+    """Narrow rows dealt by key, before text is joined to or made from them.
 
     A small table arrives as one file and would keep the text work that
-    follows on one core. ``key`` must be evenly distributed.
+    follows on one core. ``key`` must be evenly distributed. The number of
+    partitions is the session's and may be changed at run time.
     """
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+    return rows.repartition(key)
 
 
 def remark(key: Column, shift: Column) -> Column:
@@ -278,12 +279,12 @@ def wide_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw export rows, all text: mixed date layouts, bad scores, missing values."""
-    rows = spread(responses(spark, sf_dir), "id")
+    rows = responses(spark, sf_dir)
     key, day = F.col("id"), F.col("creation_date")
-    layouts = ("dd/MM/yyyy", "yyyy-MM-dd", "d-M-yyyy", "d.M.yyyy")
+    layouts = ("dd/MM/yyyy", "yyyy-MM-dd", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy H:mm:ss", "dd/MM/yy")
     date_text = F.when(key % 41 == 0, "").when(key % 43 == 0, "31/31/2000")
     for i, layout in enumerate(layouts):
-        date_text = date_text.when(key % 4 == i, F.date_format(day, layout))
+        date_text = date_text.when(key % len(layouts) == i, F.date_format(day, layout))
     score_text = (
         F.when(key % 19 == 0, "abc")
         .when(key % 23 == 0, "11")

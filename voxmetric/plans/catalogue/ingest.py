@@ -12,9 +12,11 @@ _EXPORT = f"""export as (select *,
     case when id % 47 <> 0 then survey_name || ' ' else '' end as x_survey,
     case when id % 19 = 0 then 'abc' when id % 23 = 0 then '11'
       when id % 3 = 0 then nps_score || '.9' else ' ' || nps_score end as x_score,
-    case when id % 41 = 0 then '' when id % 43 = 0 then '31/31/2000' when id % 4 = 0 then strftime(creation_date, '%d/%m/%Y')
-      when id % 4 = 1 then strftime(creation_date, '%Y-%m-%d') when id % 4 = 2 then strftime(creation_date, '%-d-%-m-%Y')
-      else strftime(creation_date, '%-d.%-m.%Y') end as x_date,
+    case when id % 41 = 0 then '' when id % 43 = 0 then '31/31/2000' when id % 6 = 0 then strftime(creation_date, '%d/%m/%Y')
+      when id % 6 = 1 then strftime(creation_date, '%Y-%m-%d') when id % 6 = 2 then strftime(creation_date, '%-d-%-m-%Y')
+      when id % 6 = 3 then strftime(creation_date, '%-d.%-m.%Y')
+      when id % 6 = 4 then strftime(creation_date, '%-d/%-m/%Y') || ' 0:00:00'
+      else strftime(creation_date, '%d/%m/%y') end as x_date,
     case when id % 6 in (0, 1) then null else {remark('id', '0')} end as x_comment,
     coalesce(nullif(case when id % 8 <> 0 then title_text else '' end, ''), 'alt_' || (id % 4)) as x_title
   from responses),

@@ -3,6 +3,7 @@
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ...operators import enrichment, similarity, text, themes
@@ -184,6 +185,52 @@ add(
           'nl' as language from open_rows"""
     ),
 )
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _length_scorer(comments):
+    """Scores a comment by its length and refuses some lengths."""
+    size = comments.str.len()
+    if (size % 7 == 3).any():
+        raise ValueError("refused")
+    return pd.DataFrame(
+        {
+            "themes": [["lang"] if n % 2 == 0 else ["kort", "anders"] for n in size],
+            "sentiment_score": [(n % 21 - 10) / 10 for n in size],
+            "keywords": [[] for _ in size],
+        }
+    )
+
+
+def _scored(t):
+    return enrichment.enrich_with(enrichment.pending(t.commented, t.enrichment), _length_scorer, "length")
+
+
+_SCORED = f"""{_RECORDS}, sized as (select id, txt, case when txt is null then 'skipped'
+    when length(trim(txt, {_BLANKS})) % 7 = 3 then 'failed' else 'completed' end as processing_status,
+    length(trim(txt, {_BLANKS})) as n from open_rows)"""
+add(
+    "enrich_with_scorer", "TXT-14 TXT-13",
+    lambda t: _scored(t).select(
+        "response_id", bindings.joined("themes").alias("themes"), "sentiment_label", "processing_status"
+    ),
+    with_commented_enrichment(
+        f""", {_SCORED} select id as response_id,
+          case when processing_status = 'completed' then case when n % 2 = 0 then 'lang' else 'kort|anders' end end as themes,
+          case when processing_status <> 'completed' then 'neutral' when n % 21 - 10 > 1 then 'positive'
+            when n % 21 - 10 < -1 then 'negative' else 'neutral' end as sentiment_label,
+          processing_status from sized"""
+    ),
+)
+add(
+    "enrich_scorer_counters", "TXT-14",
+    lambda t: enrichment.batch_counters(_scored(t)),
+    with_commented_enrichment(
+        f""", {_SCORED} select count(*) filter (where processing_status = 'completed') as processed,
+          count(*) filter (where processing_status = 'skipped') as skipped,
+          count(*) filter (where processing_status = 'failed') as failed from sized"""
+    ),
+)
 add(
     "enrich_counters", "TXT-14",
     lambda t: enrichment.batch_counters(_records(t)),

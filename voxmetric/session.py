@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +58,32 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared staging folder and read it back.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the staging folder; it goes when the driver's JVM ends."""
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that writes a frame to the shared staging folder and reads it back.
 
     Used where several outputs need the same expensive intermediate: the
-    written table survives the loss of executors, which a cache does not.
+    written table survives the loss of executors, which a cache does not. It is
+    deleted when the block ends.
     """
-    spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    root = scratch(spark, "stage")
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    try:
+        yield stage
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cleaning
 from ..operators.quality import upsert
-from ..session import stage
+from ..session import staging
 
 MONTH = "creation_month"
 BUCKET = "key_bucket"
@@ -63,29 +63,26 @@ def upsert_table(
     parents: DataFrame | None = None,
     parent_key: str = "id",
     touch: str | None = "updated_at",
+    newest: Sequence[str] = (),
 ) -> None:
     """Insert or replace rows by key in a table written by ``write_keyed``.
 
     Only the key buckets that receive rows are read and rewritten. The result
-    is staged first: a table is never overwritten while it is being read.
-    ``touch`` names a column set to the write time of replaced and new rows.
+    is staged first: a table is never overwritten while it is being read. What
+    was staged is deleted at the end. Of incoming rows with one key the newest
+    by ``newest`` stays (see ``upsert``). ``touch`` names a column set to the
+    write time of replaced and new rows.
     """
     spark = incoming.sparkSession
     if touch and touch in spark.read.parquet(path).columns:
         incoming = incoming.withColumn(touch, F.current_timestamp())
-    incoming = stage(incoming.withColumn(BUCKET, key_bucket(key, buckets)), "incoming")
+    incoming = incoming.withColumn(BUCKET, key_bucket(key, buckets))
     touched = incoming.select(BUCKET).distinct()
     # At most ``buckets`` rows, so the semi join prunes partitions of the scan.
     current = spark.read.parquet(path).join(F.broadcast(touched), BUCKET, "left_semi")
-    merged = upsert(current, incoming, key, parents, parent_key)
-    (
-        stage(merged, "merged")
-        .hint("rebalance", BUCKET)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
+    with staging(spark) as stage:
+        merged = stage(upsert(current, incoming, key, parents, parent_key, newest), "merged")
+        overwrite_partitions(merged, path, [BUCKET])
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

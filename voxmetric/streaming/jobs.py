@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import cleaning, scores
+from ..session import staging
 from ..sources.ingest import (
     OPTIONAL_HEADERS, REQUIRED_HEADERS, normalize, rejected_rows, to_responses, valid_rows,
 )
@@ -38,13 +39,17 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Normalise dropped files; append responses and rejects.
 
-    Each micro-batch writes below its own batch folder, so a batch that is
-    repeated after a failure replaces its earlier output instead of doubling
-    it.
+    Each micro-batch is parsed and written once, and the two tables are made
+    from what was written. They are written below the folder of the batch, so a
+    batch that is repeated after a failure replaces its earlier output instead
+    of doubling it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = normalize(batch)
+        with staging(batch.sparkSession) as stage:
+            append(stage(normalize(batch), "rows"), batch_id)
+
+    def append(rows: DataFrame, batch_id: int) -> None:
         responses = to_responses(valid_rows(rows)).withColumn(
             MONTH, cleaning.month_text(F.col("creation_date"))
         )
