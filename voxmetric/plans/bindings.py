@@ -8,6 +8,8 @@ computes the same values.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cleaning, scores
@@ -131,21 +133,46 @@ def responses(spark: SparkSession, sf_dir: str, *, comments: bool = False) -> Da
     )
 
 
+def _place(words: list[str], word: Column) -> Column:
+    """Position of a word in the list."""
+    return F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i)])[word]
+
+
+def _named(bits: str, names: list[Column], places: Sequence[int]) -> Column:
+    """The names whose bit is set, in the order given."""
+    return F.array_compact(
+        F.array(*[F.when(F.getbit(bits, F.lit(p)) == 1, n) for n, p in zip(names, places)])
+    )
+
+
 def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One enrichment per order that has line items.
 
+    The themes and brands of an order are bits of two numbers, so that the
+    aggregation over its items keeps no sets.
+
     Themes are the names of the ordered parts; a few orders add a niche theme
     of their own, and some have no themes at all.
     """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     word = F.element_at(F.split("p_name", " "), F.col("l_linenumber") % 2 + 1)
+    words = sorted(PART_THEMES, key=PART_THEMES.get)
+    brands = sorted(range(63), key=str)
+    brand = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
     per_order = (
         items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_orderkey").alias("response_id"))
         .agg(
-            F.array_sort(F.collect_set(_lookup(PART_THEMES, word))).alias("names"),
-            F.array_sort(F.collect_set(F.lower("p_brand"))).alias("keywords"),
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _place(words, word))).alias("name_bits"),
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), brand)).alias("brand_bits"),
+        )
+        .select(
+            "response_id",
+            _named("name_bits", [F.lit(PART_THEMES[w]) for w in words], range(len(words))).alias("names"),
+            _named(
+                "brand_bits", [F.lit(f"brand#{n}") for n in brands], brands
+            ).alias("keywords"),
         )
     )
     key = F.col("response_id")
