@@ -1,7 +1,7 @@
 """All catalogue entries."""
 
 from . import (  # noqa: F401
-    files, ingest, mapping, nps, quality, surveys, text, themes, trends,
+    files, ingest, mapping, nps, ordered, quality, surveys, text, themes, trends,
 )
 from .base import ENTRIES, Tables
 
