@@ -2,27 +2,32 @@
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
-_REPEATS = """
-SELECT rid, {n} AS n, pos, len(w) AS size, word,
-       row_number() OVER (PARTITION BY rid, gram ORDER BY pos) AS nth,
-       count(*) OVER (PARTITION BY rid, gram) AS times
-FROM (SELECT rid, w, pos, w[pos] AS word,
-             CASE WHEN pos + {n} - 1 <= len(w) THEN array_to_string(w[pos : pos + {n} - 1], ' ') ELSE 'x x x x ' || pos END AS gram
-      FROM places)
-"""
+_LEADS = ", ".join(f"lead(h, {k}) OVER place AS h{k}" for k in range(1, 10))
+
+
+def _grams(n: int) -> str:
+    rest = "".join(f", h{k}" for k in range(1, n))
+    return f"SELECT rid, pos, word, {n} AS n, pos + {n} - 1 <= size AS whole, hash(h{rest}) AS gram FROM leads"
+
 
+# Words and windows are compared by a 64-bit hash.
 OP1 = rf"""
 WITH texts AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), {_WORD}) AS w
   FROM documents),
-places AS (SELECT rid, w, unnest(generate_series(1, len(w))) AS pos FROM texts),
-grams AS ({' UNION ALL '.join(_REPEATS.format(n=n) for n in (3, 5, 7, 10))}),
+places AS (SELECT rid, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+hashed AS (SELECT *, hash(word) AS h FROM places),
+leads AS (SELECT *, {_LEADS} FROM hashed WINDOW place AS (PARTITION BY rid ORDER BY pos)),
+grams AS ({' UNION ALL '.join(_grams(n) for n in (3, 5, 7, 10))}),
+counted_grams AS (
+  SELECT *, min(pos) OVER (PARTITION BY rid, n, gram, whole) AS first_at, count(*) OVER (PARTITION BY rid, n, gram, whole) AS times
+  FROM grams),
 hits AS (
   SELECT rid, n, word,
-         max(CASE WHEN pos + n - 1 <= size AND (nth > 1 OR (n = 3 AND times > 1)) THEN pos + n - 1 ELSE 0 END)
+         max(CASE WHEN whole AND (pos > first_at OR (n = 3 AND times > 1)) THEN pos + n - 1 ELSE 0 END)
            OVER (PARTITION BY rid, n ORDER BY pos) >= pos AS hit
-  FROM grams),
+  FROM counted_grams),
 cover AS (
   SELECT rid, sum(length(word)) FILTER (WHERE n = 3) AS word_chars,
          count(*) FILTER (WHERE n = 3 AND hit) AS n_repeat_words,
@@ -51,17 +56,28 @@ SELECT *, NOT base_failed AND 100 * dup_line_chars <= 20 * word_chars AND 100 *
 FROM judged
 """
 
+def _doubled(before: str, after: str, step: int) -> str:
+    return f"""{after} AS (
+  SELECT *, hash({before}, lead({before}, {step}) OVER (PARTITION BY rid ORDER BY pos)) AS {after}
+  FROM {before})"""
+
+
 OP8 = rf"""
 WITH texts AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
-places AS (SELECT rid, w, unnest(generate_series(1, len(w))) AS pos FROM texts),
-windows AS (
-  SELECT rid, pos, count(*) OVER (PARTITION BY gram) AS times
-  FROM (SELECT rid, pos, array_to_string(w[pos : pos + 34], ' ') AS gram FROM places WHERE pos + 34 <= len(w))),
+places AS (SELECT rid, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+h1 AS (SELECT *, hash(word) AS h1 FROM places),
+{_doubled('h1', 'h2', 1)}, {_doubled('h2', 'h4', 2)}, {_doubled('h4', 'h8', 4)}, {_doubled('h8', 'h16', 8)},
+{_doubled('h16', 'h32', 16)},
+grams AS (
+  SELECT rid, pos, word, pos + 34 <= size AS whole,
+         hash(h32, lead(h2, 32) OVER (PARTITION BY rid ORDER BY pos), lead(h1, 34) OVER (PARTITION BY rid ORDER BY pos)) AS gram
+  FROM h32),
+windows AS (SELECT *, count(*) OVER (PARTITION BY gram, whole) AS times FROM grams),
 marked AS (
-  SELECT rid, pos, w[pos] AS word,
-         coalesce(max(CASE WHEN times > 1 THEN pos END) OVER (PARTITION BY rid ORDER BY pos) + 34 >= pos, false) AS gone
-  FROM places LEFT JOIN windows USING (rid, pos)),
+  SELECT rid, pos, word,
+         coalesce(max(CASE WHEN whole AND times > 1 THEN pos END) OVER (PARTITION BY rid ORDER BY pos) + 34 >= pos, false) AS gone
+  FROM windows),
 kept AS (
   SELECT rid, count(*) FILTER (WHERE gone) AS n_removed,
          string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS text
