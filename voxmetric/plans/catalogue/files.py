@@ -114,6 +114,32 @@ add(
 )
 
 
+def _header(t):
+    """The header record of the upload, appended to a table and read back."""
+    frame, structure = _upload(t)
+    people = upload.to_long(frame, structure).select("row_number").distinct().count()
+    path = f"{scratch(t.spark, 'headers')}/t"
+    tables.append(upload.header_record(t.spark, "u1", "answers.csv", structure, people), path)
+    return t.spark.read.parquet(path).select(
+        "id", "name", "original_filename", "total_responses", "is_multi_question", "status",
+        F.array_join("headers", ",").alias("headers"), F.array_join("question_columns", ",").alias("question_columns"),
+    )
+
+
+add(
+    "upload_header", "ING-16 ING-12 ING-13",
+    _header,
+    """with questions as (select string_agg('question_' || (turn + 1) || '_feedback', ',' order by turn) as names
+        from (select unnest(generate_series(0, max(turn))) as turn from conversations)),
+      people as (select count(distinct conv_id) as n from conversations
+        where conv_id % 7 <> 3 and length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 10)
+      select 'u1' as id, 'answers' as name, 'answers.csv' as original_filename, n as total_responses,
+        true as is_multi_question, 'processing' as status,
+        'participant_id,' || names || ',segment,size' as headers, names as question_columns
+      from questions, people""",
+)
+
+
 def _streamed(t):
     """Dropped files as a stream, file by file, to a table and its rejects."""
     root, source = scratch(t.spark, "stream"), scratch(t.spark, "drop")
