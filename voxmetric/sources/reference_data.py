@@ -348,35 +348,35 @@ COMMENT_TAXONOMY = (
 # --------------------------------------------------------------------------
 # Stop words.
 # --------------------------------------------------------------------------
-DUTCH_STOP_WORDS = tuple(dict.fromkeys(
-    """de het een en van is in op voor met te aan zijn dat
-    die deze dit ook als maar bij om uit naar er door over
-    hij ze hun wordt werd waren was hebben had heeft kan moet
-    of dan nog wel niet geen meer veel andere sommige alle omdat
-    ik je jij wij zij mijn jouw haar onze jullie
-    zo zeer weer al dus toen nu hier daar waar hoe wat wie
-    verleden""".split()
-))
-ENGLISH_STOP_WORDS = tuple(
-    """the and for are but not you all can had her was one our out day get has
-    him his how its may new now old see two way who boy did man put say she too
-    use""".split()
+DUTCH_STOP_WORDS = tuple(dict.fromkeys((
+    "de", "het", "een", "en", "van", "is", "in", "op", "voor", "met", "te", "aan", "zijn", "dat", "die",
+    "deze", "dit", "ook", "als", "maar", "bij", "om", "uit", "naar", "er", "door", "over", "hij", "ze", "hun",
+    "wordt", "werd", "waren", "was", "hebben", "had", "heeft", "kan", "moet", "of", "dan", "nog", "wel",
+    "niet", "geen", "meer", "veel", "andere", "sommige", "alle", "omdat", "ik", "je", "jij", "wij", "zij",
+    "mijn", "jouw", "haar", "onze", "jullie", "zo", "zeer", "weer", "al", "dus", "toen", "nu", "hier", "daar",
+    "waar", "hoe", "wat", "wie", "verleden",
+)))
+ENGLISH_STOP_WORDS = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out",
+    "day", "get", "has", "him", "his", "how", "its", "may", "new", "now", "old", "see", "two", "way", "who",
+    "boy", "did", "man", "put", "say", "she", "too", "use",
 )
-HINT_STOP_WORDS = tuple(dict.fromkeys(
-    """the and for are but not you all can had her was one our out day get has
-    him his how its may new now old see two way who boy did man oil sit try use
-    why let put say she too
-    een van de het is op te in aan met voor dat niet zijn als er maar dan ook
-    nog over heeft hebben wordt worden kan kunnen moet moeten zal zullen zou
-    zouden heb had hadden waren ben bent dit die deze zo wel geen alle alleen
-    altijd al weer meer veel weinig groot klein goed slecht nieuw oud jong laat
-    vroeg lang kort hoog laag breed smal dik dun warm koud hete koude nat droog
-    schoon vuil mooi lelijk leuk saai interessant belangrijk nuttig handig
-    makkelijk moeilijk duur goedkoop snel langzaam sterk zwak zwaar licht vol
-    leeg open dicht binnen buiten boven onder links rechts achter naast tussen
-    door rond om naar tot sinds tijdens na tijd uur dag week maand jaar morgen
-    gisteren vandaag avond ochtend middag nacht""".split()
-))
+HINT_STOP_WORDS = tuple(dict.fromkeys((
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out",
+    "day", "get", "has", "him", "his", "how", "its", "may", "new", "now", "old", "see", "two", "way", "who",
+    "boy", "did", "man", "oil", "sit", "try", "use", "why", "let", "put", "say", "she", "too", "een", "van",
+    "de", "het", "is", "op", "te", "in", "aan", "met", "voor", "dat", "niet", "zijn", "als", "er", "maar",
+    "dan", "ook", "nog", "over", "heeft", "hebben", "wordt", "worden", "kan", "kunnen", "moet", "moeten",
+    "zal", "zullen", "zou", "zouden", "heb", "had", "hadden", "waren", "ben", "bent", "dit", "die", "deze",
+    "zo", "wel", "geen", "alle", "alleen", "altijd", "al", "weer", "meer", "veel", "weinig", "groot", "klein",
+    "goed", "slecht", "nieuw", "oud", "jong", "laat", "vroeg", "lang", "kort", "hoog", "laag", "breed",
+    "smal", "dik", "dun", "warm", "koud", "hete", "koude", "nat", "droog", "schoon", "vuil", "mooi", "lelijk",
+    "leuk", "saai", "interessant", "belangrijk", "nuttig", "handig", "makkelijk", "moeilijk", "duur",
+    "goedkoop", "snel", "langzaam", "sterk", "zwak", "zwaar", "licht", "vol", "leeg", "open", "dicht",
+    "binnen", "buiten", "boven", "onder", "links", "rechts", "achter", "naast", "tussen", "door", "rond",
+    "om", "naar", "tot", "sinds", "tijdens", "na", "tijd", "uur", "dag", "week", "maand", "jaar", "morgen",
+    "gisteren", "vandaag", "avond", "ochtend", "middag", "nacht",
+)))
 
 
 def synonym_pairs() -> list[tuple[str, str]]:
