@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 # Longest first.
 RULES = (
     ("example.net", "/en/", "allow"),
@@ -65,8 +67,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _strength(children: DataFrame, parent: str) -> DataFrame:
-    """One row ``m``: the strength of the prior from which the children's rates are drawn.
+def _strength(children: DataFrame, parent: str) -> Column:
+    """The strength of the prior from which the children's rates are drawn, as a scalar.
 
     With rates p_i of n_i pages around the parent's mean q_i, the weighted squared
     error has expectation sum q(1-q)(1 + (n_i - 1) r), r = 1 / (m + 1).
@@ -76,12 +78,13 @@ def _strength(children: DataFrame, parent: str) -> DataFrame:
     sums = children.agg(F.sum(error).alias("e"), F.sum(spread).alias("s"), F.sum(spread * (F.col("n") - 1)).alias("t"))
     r = (F.col("e") - F.col("s")) / F.col("t")
     m = F.when((F.col("t") > 0) & (r > 0), 1 / r - 1).otherwise(F.lit(STRONGEST))
-    return sums.select(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(m, F.lit(STRONGEST)))).alias("m"))
+    bounded = F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(m, F.lit(STRONGEST))))
+    return sums.select(bounded.alias("m")).scalar()
 
 
 def _shrunk(children: DataFrame, parent: str, name: str) -> DataFrame:
     """``children`` with ``name``, the posterior mean, and ``weight``, its pages and prior."""
-    return children.join(F.broadcast(_strength(children, parent))).select(
+    return children.withColumn("m", _strength(children, parent)).select(
         "*", ((F.col("bad") + F.col("m") * F.col(parent)) / (F.col("n") + F.col("m"))).alias(name), (F.col("n") + F.col("m")).alias("weight")
     ).drop("m", parent)
 
@@ -94,10 +97,12 @@ def posteriors(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, DataFrame,
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     hosts = outcomes.filter("bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad"))
     hosts = hosts.withColumn("domain", _labels(F.col("host"), 2)).withColumn("suffix", _labels(F.col("host"), 1))
+    # Every level is worked out from the counts of hosts, which are written once.
+    hosts = written(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     all_ = suffixes.agg(*sums).select((F.coalesce("n", F.lit(0)) + 2.0).alias("weight"), ((F.coalesce("bad", F.lit(0)) + 1.0) / (F.coalesce("n", F.lit(0)) + 2.0)).alias("mean_all"))
-    suffixes = _shrunk(suffixes.join(F.broadcast(all_.select("mean_all"))), "mean_all", "mean_suffix")
+    suffixes = _shrunk(suffixes.withColumn("mean_all", all_.select("mean_all").scalar()), "mean_all", "mean_suffix")
     domains = _shrunk(domains.join(suffixes.select("suffix", "mean_suffix"), "suffix"), "mean_suffix", "mean_domain")
     hosts = _shrunk(hosts.join(domains.select("domain", "mean_domain"), "domain"), "mean_domain", "mean_host")
 
@@ -131,7 +136,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
         known.join(named(of_host, "host"), "host", "left")
         .join(named(of_domain, "domain"), "domain", "left")
         .join(named(of_suffix, "suffix"), "suffix", "left")
-        .join(F.broadcast(named(of_all, "all")))
+        .withColumns({f"{x}_all": of_all.select(x).scalar() for x in ("mean", "bound")})
     )
     level = ("host", "domain", "suffix", "all")
     known = known.select("host", *[F.coalesce(*[f"{x}_{y}" for y in level]).alias(f"posterior_{x}") for x in ("mean", "bound")])
