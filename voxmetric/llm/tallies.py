@@ -7,10 +7,11 @@ language and tokenizer version, and these sums are the batch's delta; totals are
 the sum of all deltas.
 
 A commit writes below ``path`` in the folder of its batch number, by overwriting,
-and reads only batches with smaller numbers: a commit that is repeated, or begun
-again after a failure, leaves the same files. A batch counts from the moment its
-marker is written, last of all. Batches are committed in order of their numbers;
-a smaller one than the last committed is refused unless it was committed before.
+and reads only batches with smaller numbers: one that is begun again after a
+failure leaves the same files. A batch counts from the moment its marker is
+there, which is written last of all; a commit of a batch that counts does
+nothing. Batches are committed in order of their numbers; a smaller one than the
+last committed is refused unless it counts already.
 
 Defined cases: of several events of a document in one batch the one with the
 largest ``seq`` holds, a delete before a revision before an insert where they
@@ -61,9 +62,11 @@ class Tallies:
     def commit(self, batch: int, events: DataFrame) -> None:
         """Apply (op, seq, doc_id, source, lang, version, n_tokens, n_chars) events as ``batch``."""
         done = self._committed()
-        if done and batch < done[-1] and batch not in done:
+        if batch in done:
+            return
+        if done and batch < done[-1]:
             raise ValueError(f"batch {batch} comes after batch {done[-1]}")
-        before = self.current([b for b in done if b < batch])
+        before = self.current(done)
         rank = F.expr("case op when 'delete' then 2 when 'revise' then 1 else 0 end")
         counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in COUNTS]
         row = F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), rank.alias("rank"), *[F.col(c).cast("string").alias(c) for c in KEYS], *counts)
