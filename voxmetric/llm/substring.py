@@ -10,9 +10,9 @@ another. All copies are removed, the first one included.
    windows around an anchor that occurs twice can be repeated.
    A text as a whole is a seed as well: all windows of a text that occurs twice
    are repeated.
-2. *Extension.* Around each anchor that occurs twice, every window that holds
-   it, up to ``LENGTH - k`` words to the left and as many to the right, is
-   matched by a 96-bit hash of its words. Of equal texts one block does this.
+2. *Extension.* From each anchor that occurs twice to the left and to the right,
+   every window whose smallest k-gram it is, is matched by a 96-bit hash of its
+   words. Of equal texts one block does this.
 3. *Maximal repeats.* Overlapping matched windows are joined to the longest
    runs; their words go.
 
@@ -48,14 +48,15 @@ BLOCK_BYTES = 4 << 20
 _BLOCK = "_repeat_block"
 
 
-def _anchors(w: W.Words, h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the winnowed k-grams."""
-    whole = W.fits(w, length)
-    if not whole.any():
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+def _least(w: W.Words, h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-grams, and of the smallest one of each window (0: no window)."""
     g = W.window_hashes(h, k)
-    least = np.where(whole, _sliding(g, length - k + 1, np.minimum), np.uint64(0))
-    # An anchor is the least of some window that holds it.
+    return g, np.where(W.fits(w, length), _sliding(g, length - k + 1, np.minimum), np.uint64(0))
+
+
+def _anchors(w: W.Words, h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the winnowed k-grams: the smallest of some window."""
+    g, least = _least(w, h, length, k)
     most = _sliding(least[::-1], length - k + 1, np.maximum)[::-1]
     at = np.flatnonzero((most == g) & (most > 0))
     return at, g[at]
@@ -149,14 +150,10 @@ def _windows(length: int, k: int) -> Callable:
         for _, _, w in W.slices(texts["text"].combine_chunks()) if len(known[0]) else ():
             copy, elsewhere = _copies(w, length, known)
             h = w.hashes()
-            at, g = _anchors(w, h, length, k)
-            at = at[_member(g, known[0])]
-            if not len(at):
+            least = _least(w, h, length, k)[1]
+            begins = _member(least, known[0]) & (least > 0) & ~np.repeat(elsewhere, w.counts)
+            if not begins.any():
                 continue
-            marks = np.zeros(len(w), dtype=bool)
-            marks[at] = True
-            begins = W.covered(marks[::-1], length - k + 1)[::-1] & W.fits(w, length)
-            begins &= ~np.repeat(elsewhere, w.counts)
             twice = 1 + np.repeat(copy, w.counts)[begins].astype(np.int64)
             a, b = (W.window_hashes(x, length)[begins] for x in (h, w.hashes(1)))
             found.append((a, b & np.uint64(0xFFFFFFFF), twice))
@@ -216,7 +213,11 @@ def _strip(length: int) -> Callable:
 
 
 def _seen_twice(counts: DataFrame) -> DataFrame:
-    """(block, a, b, first) for keys whose counts add up to two or more over all blocks."""
+    """(block, a, b, first) for keys whose counts add up to two or more over all blocks.
+
+    A key has a row per block, or per task and block, and is gathered as the set
+    of its blocks.
+    """
     return (
         counts.groupBy("a", "b")
         .agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks"))
@@ -255,7 +256,8 @@ def strip_repeats(documents: DataFrame, length: int = LENGTH, seed_words: int =
         + [T.StructField(c, T.LongType()) for c in added[:2]]
         + [T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())])))]
     )
-    repeated = _seen_twice(windows).unionByName(seeds.filter("b <> 0"))
+    # A window has one row per block: summing before the shuffle would only widen it.
+    repeated = _seen_twice(windows.repartition("a", "b")).unionByName(seeds.filter("b <> 0"))
     return (
         dealt.groupBy(_BLOCK)
         .cogroup(repeated.groupBy(_BLOCK))
