@@ -7,15 +7,15 @@ scores the transition between neighbours. Forward-backward gives the marginal
 of each language at each word; a document gets the language with the largest
 mean marginal over its words that have a letter.
 
-*Fitting* uses a bounded sample of labelled documents: at most ``SAMPLE``
-documents a language, chosen by a hash of the id, each of at most ``SAMPLE_CHARS``
-characters. Their words carry the label of the document; runs of different
+*Fitting* uses a bounded sample of labelled documents: about ``SAMPLE``
+documents for each of the ``LABELS`` most frequent languages, chosen by a hash,
+each of at most ``SAMPLE_CHARS`` characters. Their words carry the label of the document; runs of different
 languages are joined to code-switched chains, so that transitions are learned.
 The weights are those of a conditional likelihood, by AdaGrad.
 
 *Labelling* runs over whole texts, in chains of ``CHAIN`` words that are
-labelled side by side, without a shuffle. Potentials of distinct words are kept
-by the task.
+labelled side by side, without a shuffle. Potentials of common words are kept
+by the worker.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 labels that are null are not learned from; without any label everything is
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 400
 SAMPLE_CHARS = 20_000
+LABELS = 1000
 CHAIN = 64
 UNKNOWN = "und"
 _BUCKETS = 1 << 15
@@ -48,7 +49,9 @@ _RATE = 0.2
 _RUN = 12
 _LEXICON = 50_000
 _BATCH = 256
-_REMEMBERED = 300_000
+# Words and n-grams that a worker remembers: some 40 MB.
+_REMEMBERED = 100_000
+_REMEMBERED_GRAMS = 50_000
 _OUTER = ".,;:!?()[]{}\"'|*&%$#-"
 
 
@@ -57,7 +60,7 @@ class _Places(dict):
 
     def __missing__(self, gram: str) -> int:
         at = zlib.crc32(gram.encode()) % _BUCKETS
-        if len(self) < _REMEMBERED:
+        if len(self) < _REMEMBERED_GRAMS:
             self[gram] = at
         return at
 
@@ -92,6 +95,15 @@ class Model:
     lexicon: dict[str, np.ndarray]
     lexicon_weight: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+
+    def kept(self) -> _Potentials:
+        """Potentials that a worker keeps between its tasks."""
+        if "_kept" not in self.__dict__:
+            self._kept = _Potentials(self)
+        return self._kept
+
     def potential(self, letters: str) -> np.ndarray:
         """Score of each language for a word of these letters."""
         at = _features(letters)
@@ -101,10 +113,15 @@ class Model:
 
 
 class _Potentials(dict):
-    """Row of each word met in ``rows``: its potentials, and 1 if it has a letter."""
+    """Row of each word met in ``rows``: its potentials, and 1 if it has a letter.
+
+    Words of the first batches are kept, which are the common ones; once
+    ``_REMEMBERED`` are, those new in a batch are forgotten after it.
+    """
 
     def __init__(self, model: Model):
         self.model, self.of_letters, self.rows = model, {}, np.zeros((4096, len(model.languages) + 1), np.float32)
+        self.new_words, self.new_letters = [], []
 
     def __missing__(self, word: str) -> int:
         letters = _letters(word)
@@ -115,14 +132,20 @@ class _Potentials(dict):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[at, :-1] = self.model.potential(letters)
             self.rows[at, -1] = bool(letters)
+            self.new_letters.append(letters)
         self[word] = at
+        self.new_words.append(word)
         return at
 
-    def trim(self) -> None:
-        """Forget everything once too much is kept."""
+    def batch_done(self) -> None:
+        """Forget what is new if enough is kept."""
         if len(self) > _REMEMBERED:
-            self.clear()
-            self.of_letters.clear()
+            for word in self.new_words:
+                del self[word]
+            # Rows are handed out in order, so the kept ones stay the first.
+            for letters in self.new_letters:
+                del self.of_letters[letters]
+        self.new_words, self.new_letters = [], []
 
 
 def _marginals(score: np.ndarray, size: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,19 +278,19 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
 def label_words(potentials: _Potentials, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text the marginals of its words and which of them have a letter.
 
-    Texts are taken together up to about a quarter of a million words.
+    Texts are taken together up to about 130,000 words.
     """
     at, k, transition = 0, len(potentials.model.languages), potentials.model.transition
     while at < len(texts):
         lists, n = [], 0
-        while at < len(texts) and (n < 1 << 18 or not lists):
+        while at < len(texts) and (n < 1 << 17 or not lists):
             lists.append((texts[at] or "").split())
             n += len(lists[-1])
             at += 1
         sizes = np.array([len(x) for x in lists])
-        potentials.trim()
         ids = np.fromiter(map(potentials.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=n)
         flat = potentials.rows[ids]
+        potentials.batch_done()
         chains = -(-sizes // CHAIN)
         base = np.concatenate([[0], np.cumsum(sizes)])
         place = np.arange(n) - np.repeat(base[:-1], sizes)
@@ -306,15 +329,17 @@ def _judge(potentials: _Potentials | None, texts: list[str | None]) -> tuple[lis
     return names, scores, runs
 
 
+# Rows that are judged together; their words are taken in smaller parts.
+_ROWS = 2000
 _RUNS = pa.list_(pa.struct([("lang", pa.string()), ("from", pa.int32()), ("to", pa.int32())]))
 
 
 def _predict(shared, extra: list[str], runs_too: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        potentials = _Potentials(shared.value) if shared.value else None
-        for batch in batches:
-            names, scores, runs = _judge(potentials, batch.column("text").to_pylist())
-            columns = [batch.column(c) for c in extra] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+        potentials = shared.value.kept() if shared.value else None
+        for part in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):
+            names, scores, runs = _judge(potentials, part.column("text").to_pylist())
+            columns = [part.column(c) for c in extra] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             if runs_too:
                 columns.append(pa.array(runs, _RUNS))
             yield pa.RecordBatch.from_arrays(columns, names=[*extra, "lang_pred", "score", "runs"][: len(columns)])
@@ -329,7 +354,7 @@ def sample(labelled: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_
     gathered by language.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") <= chars))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
     if not counts:
         return usable.limit(0).select("text", "lang")
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -352,6 +377,23 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str], runs: b
     return rest.mapInArrow(_predict(shared, keep, runs), f"{kinds}, lang_pred string, score double{more}")
 
 
+def keep(documents: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """The documents in a language that the model knows well enough, in their own columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    schema = documents.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        potentials = shared.value.kept() if shared.value else None
+        at = schema.names.index("text")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(lo, _ROWS)
+                names, scores, _ = _judge(potentials, part.column(at).to_pylist())
+                yield part.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores)]))
+
+    return documents.mapInArrow(run, schema)
+
+
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     """Whether the id's checksum puts a document into the part that is not learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -49,8 +49,10 @@ STEP = 32
 EPSILON = 0.1
 # Lengths up to so many steps are left to fill what configurations leave free.
 FILLER_STEPS = 32
-# Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED = 400_000
+# Words, and words without case and punctuation, whose ids a worker remembers,
+# and the longest of them in bytes: some 45 MB.
+REMEMBERED = 90_000
+REMEMBERED_PLAIN = 150_000
 REMEMBERED_BYTES = 64
 
 
@@ -96,7 +98,7 @@ class _Ids(dict):
         room = len(word) <= REMEMBERED_BYTES
         if ids is None:
             ids = self._new(plain)
-            if room and len(self.plain) < REMEMBERED:
+            if room and len(self.plain) < REMEMBERED_PLAIN:
                 self.plain[plain] = ids
         if tail:
             ids += self[tail]

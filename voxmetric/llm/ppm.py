@@ -168,6 +168,17 @@ class Trie:
         self.node = {(r[0], r[1]): i for i, r in enumerate(rows)}
         self.rows = rows
 
+    def kept(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tables that a worker keeps between its tasks."""
+        if "_tables" not in self.__dict__:
+            self._tables = self.tables()
+            # The rows are not needed again there.
+            self.rows, self.node = [], {}
+        return self._tables
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """child, and log10 probabilities, which are worked out by one walk per context."""
         n = len(self.rows)
@@ -217,7 +228,7 @@ def _score(child: np.ndarray, cost: np.ndarray, order: int, texts: list[bytes])
 
 def _scored(common, trie, order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (child, cost) = common.value, trie.value.tables()
+        known, (child, cost) = common.value, trie.value.kept()
         for batch in batches:
             at = 0
             for part in _grouped(batch.column("text").to_pylist()):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import covering, crf, packing, ppm, repetition, reputation, segments, substring, tallies, unigram
-from .storage import scratch
+from .storage import scratch, small_batches
 from .twins import SQL  # noqa: F401
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,7 @@ _WORDS, _MARKS = r"[^\x20\x09-\x0D]+", r"[.,]"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,3 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(df.sparkSession, name)}/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of bounded bytes, for this session.
+
+    The rows of a batch are held several times over, by the executor and by its
+    worker; the default of 10,000 rows is meant for narrow rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 MARKER = "▁"
 UNKNOWN_COST = 10.0
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+$")
 _SLICE = 1 << 20
 _CELLS = 1 << 20
