@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxmetric.llm import covering, crf, packing, repetition, substring
 from voxmetric.llm.queries import WORD_BPE
-from voxmetric.llm.storage import written
+from voxmetric.llm.storage import small_batches, written
 
 # A document whose best language holds less of its words than this is rejected.
 MIN_LANGUAGE_SCORE = 0.4
@@ -19,30 +19,33 @@ MIN_LANGUAGE_SCORE = 0.4
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
+    small_batches(spark)
     return repetition.keep(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; it learns from their own labels."""
+    small_batches(spark)
     model = crf.train(docs.filter(~crf.held_out()))
-    named = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    judged = crf.identify(named, model, ["row"])
-    return judged.filter((F.col("lang_pred") != crf.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    return crf.keep(docs, model, MIN_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    small_batches(spark)
     return covering.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without their repeated passages; ``n_chars`` follows the text."""
+    small_batches(spark)
     kept = substring.strip_repeats(docs)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
+    small_batches(spark)
     return packing.pack(docs, WORD_BPE)
 
 
