@@ -273,3 +273,14 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     rows = ppm.contexts(documents(spark, [(i, prose(i, 20)) for i in range(10)]), 3, 500)
     _, cost = ppm.Trie(rows).tables()
     assert np.allclose((10.0 ** cost.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_rare_contexts_stay_in_the_trie(spark, monkeypatch):
+    """Contexts seen once count as before beside any number of common symbols, looked up or joined."""
+    rows = [(i, "ab " * 2000) for i in range(12)] + [(20 + i, prose(i, 20)) for i in range(12)] + [(2, "qzx qzx vwk")]
+    df = documents(spark, rows).withColumn("held_out", F.col("doc_id") % 6 == 2)
+    want = scored_by_hand([t for i, t in rows if i % 6 != 2], [t for _, t in rows], ppm.ORDER, 1 << 60)
+    for looked_up in (1 << 21, 100, 0):
+        monkeypatch.setattr(ppm, "STRINGS", looked_up)
+        got = ppm.score(df).collect()
+        assert sorted((r.doc_id, round(r.score, 2)) for r in got) == sorted((i, round(x, 2)) for (i, _), x in zip(rows, want))

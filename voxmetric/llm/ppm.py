@@ -8,14 +8,21 @@ one in ``COMMON`` of all training tokens (at most ``COMMON`` words, whatever the
 corpus) are looked up in the task; the others are joined by word.
 
 *PPM.* The counts of all ``ORDER + 1``-symbol strings of the training texts are
-summed by Spark, and from them those of all shorter ones. Contexts with at least
-one in ``CONTEXTS`` of all training symbols make the byte-context trie: at most
-``CONTEXTS`` a length. From the deepest context on, a symbol is coded with its
-count over total plus distinct symbols, or escapes to the next shorter context
-with the distinct symbols as the escape's count (method C); symbols that a longer
-context has seen are excluded from the shorter ones; last comes a uniform choice
-among the symbols never seen. The trie's code lengths are worked out once per
-context; a document's score is the sum over its symbols, the end included.
+summed by Spark, and from them those of all shorter ones: the byte-context trie,
+with every context of the training texts. It is a written table and grows with
+the corpus. From the deepest context on, a symbol is coded with its count over
+total plus distinct symbols, or escapes to the next shorter context with the
+distinct symbols as the escape's count (method C); symbols that a longer context
+has seen are excluded from the shorter ones; last comes a uniform choice among
+the symbols never seen. A document's score is the sum over its symbols, the end
+included.
+
+*Costs.* What a symbol costs depends on its string of ``ORDER + 1`` symbols only.
+A shorter context has seen whatever a longer one has, so what is excluded is
+known from the step before, and costs are worked out by joins from the shortest
+strings to the longest. A key of these joins has at most 257 rows. The costs of
+the commonest strings (at most ``STRINGS``, whatever the corpus) are looked up in
+the task; a document's other strings are counted, written and joined.
 
 Defined cases: a null text is empty and scores its end; without training
 documents every symbol is uniform and the base counts are zero; repeated rows
@@ -36,7 +43,7 @@ from pyspark.sql import functions as F
 from .storage import written
 
 ORDER = 5
-CONTEXTS = 1 << 14
+STRINGS = 1 << 21
 COMMON = 1 << 17
 END = 256
 _SYMBOLS = 257
@@ -133,24 +140,88 @@ def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
-def contexts(training: DataFrame, order: int = ORDER, most: int = CONTEXTS) -> list:
-    """(depth, context, symbols, counts) of the contexts frequent enough for the trie."""
-    longest = training.select("text").mapInArrow(_count_strings(order), "code bigint, n bigint")
-    longest = longest.groupBy("code").agg(F.sum("n").alias("n"))
-    each = F.array(
+def _ends(code: str, order: int) -> Column:
+    """(depth, code) of the strings of 1 to ``order + 1`` symbols that end like ``code``."""
+    return F.array(
         *[
-            F.struct(F.lit(d).alias("depth"), F.col("code").bitwiseAND(F.lit((1 << (_BITS * (d + 1))) - 1)).alias("code"))
+            F.struct(F.lit(d).alias("depth"), F.col(code).bitwiseAND(F.lit((1 << (_BITS * (d + 1))) - 1)).alias("code"))
             for d in range(order + 1)
         ]
     )
-    strings = (
-        longest.select("n", F.inline(each))
-        .groupBy("depth", "code")
-        .agg(F.sum("n").alias("n"))
-        .select("depth", F.shiftright("code", _BITS).alias("context"), F.col("code").bitwiseAND(F.lit(511)).alias("symbol"), "n")
+
+
+def _last(column: str, symbols: str) -> Column:
+    """The last so many symbols of a string."""
+    return F.expr(f"{column} & (shiftleft(1L, {_BITS} * ({symbols})) - 1)")
+
+
+def strings(training: DataFrame, order: int = ORDER) -> DataFrame:
+    """(depth, code, n): how often each symbol follows each context of ``depth`` symbols."""
+    longest = training.select("text").mapInArrow(_count_strings(order), "code bigint, n bigint")
+    longest = longest.groupBy("code").agg(F.sum("n").alias("n"))
+    each = longest.select("n", F.inline(_ends("code", order)))
+    return written(each.groupBy("depth", "code").agg(F.sum("n").alias("n")), "strings")
+
+
+def escapes(counted: DataFrame) -> DataFrame:
+    """Every context of the trie, a row each.
+
+    Columns: depth, context, total, kinds; what the symbols that it has not seen
+    share in the context one shorter, with that one's escape (whole_up), and the
+    log10 probability of a further escape there (out_up).
+    """
+    above = counted.select((F.col("depth") + 1).alias("depth"), F.col("code").alias("up"), F.col("n").alias("n_up"))
+    seen = counted.withColumn("up", _last("code", "depth")).join(above, ["depth", "up"], "left")
+    grouped = seen.groupBy("depth", F.shiftright("code", _BITS).alias("context")).agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n_up").alias("covered")
+    )
+    grouped = written(grouped, "totals")
+    above = grouped.select(
+        (F.col("depth") + 1).alias("depth"), F.col("context").alias("up"), F.col("total").alias("total_up"), F.col("kinds").alias("kinds_up")
     )
-    grouped = strings.groupBy("depth", "context").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("seen")
+    escape = F.when(F.col("kinds_up") < _SYMBOLS, F.col("kinds_up") - F.col("kinds")).otherwise(F.lit(0))
+    joined = grouped.withColumn("up", _last("context", "greatest(depth - 1, 0)")).join(above, ["depth", "up"], "left")
+    whole = F.col("total_up") - F.col("covered") + escape
+    # Nothing new in the shorter context: the walk goes through it without a choice.
+    out = F.when(escape > 0, F.log10(escape) - F.log10(whole)).otherwise(F.lit(0.0))
+    return written(joined.select("depth", "context", "total", "kinds", whole.alias("whole_up"), out.alias("out_up")), "contexts")
+
+
+def costs(codes: DataFrame, counted: DataFrame, trie: DataFrame, order: int, most: int | None = None) -> DataFrame:
+    """(code, cost): log10 probability of the last symbol of each string after the others.
+
+    With ``most``, contexts with less than one in ``most`` of all symbols are not in the trie.
+    """
+    every = codes.select(F.inline(_ends("code", order))).distinct()
+    every = every.join(counted, ["depth", "code"], "left").withColumn("context", F.shiftright("code", _BITS))
+    every = written(every.join(trie, ["depth", "context"], "left").withColumn("up", _last("code", "depth")), "levels")
+    inside = F.col("total").isNotNull()
+    if most is not None:
+        everything = trie.filter("depth = 0").agg(F.sum("total")).first()[0] or 0
+        inside &= F.col("total") * most >= F.lit(everything)
+    leave = F.when(F.col("kinds") < _SYMBOLS, F.log10("kinds") - F.log10(F.col("total") + F.col("kinds")))
+    stay = F.log10("n") - F.log10(F.col("total") + F.col("kinds"))
+    nothing, below = F.lit(-float(np.log10(_SYMBOLS))), None
+    for depth in range(order + 1):
+        here = every.filter(F.col("depth") == depth).drop("depth", "context")
+        if below is None:
+            # After leaving a context, and at the context.
+            left, shorter = -F.log10(F.lit(_SYMBOLS) - F.col("kinds")), nothing
+        else:
+            here = here.join(below, "up")
+            left = F.when(F.col("n_below").isNotNull(), F.log10("n_below") - F.log10("whole_up"))
+            left, shorter = left.otherwise(F.col("out_up") + F.col("left_below")), F.col("cost_below")
+        cost = F.when(~inside, shorter).when(F.col("n").isNotNull(), stay).otherwise(leave + left)
+        below = here.select(
+            F.col("code").alias("up"), F.col("n").alias("n_below"), left.alias("left_below"), cost.alias("cost_below")
+        )
+    return below.select(F.col("up").alias("code"), F.col("cost_below").alias("cost"))
+
+
+def contexts(training: DataFrame, order: int = ORDER, most: int = 1 << 14) -> list:
+    """(depth, context, symbols, counts) of the contexts with one in ``most`` of all symbols."""
+    grouped = strings(training, order).groupBy("depth", F.shiftright("code", _BITS).alias("context")).agg(
+        F.sum("n").alias("total"), F.collect_list(F.struct(F.col("code").bitwiseAND(F.lit(511)).alias("symbol"), "n")).alias("seen")
     )
     total = written(grouped, "contexts")
     everything = total.filter("depth = 0").agg(F.sum("total")).first()[0] or 0
@@ -159,7 +230,7 @@ def contexts(training: DataFrame, order: int = ORDER, most: int = CONTEXTS) -> l
 
 
 class Trie:
-    """Context trie: ``child`` by (node, symbol before), ``cost`` by (node, next symbol)."""
+    """A small trie as tables, for comparison: ``child`` by (node, symbol before), ``cost`` by (node, next symbol)."""
 
     def __init__(self, rows: list):
         rows = sorted(rows, key=lambda r: (r[0], r[1]))
@@ -168,17 +239,6 @@ class Trie:
         self.node = {(r[0], r[1]): i for i, r in enumerate(rows)}
         self.rows = rows
 
-    def kept(self) -> tuple[np.ndarray, np.ndarray]:
-        """Tables that a worker keeps between its tasks."""
-        if "_tables" not in self.__dict__:
-            self._tables = self.tables()
-            # The rows are not needed again there.
-            self.rows, self.node = [], {}
-        return self._tables
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
-
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """child, and log10 probabilities, which are worked out by one walk per context."""
         n = len(self.rows)
@@ -210,25 +270,27 @@ class Trie:
         return child, cost
 
 
-def _score(child: np.ndarray, cost: np.ndarray, order: int, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text and its end."""
+def _score(codes: np.ndarray, cost: np.ndarray, order: int, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """log10 probability of each text and its end by the costs of sorted ``codes``, and counts of its other strings."""
     raw, ends = _symbols(texts)
     size = np.diff(np.concatenate([[0], ends]))
-    at = np.arange(len(raw)) - np.repeat(ends - size, size)
-    node = np.zeros(len(raw), dtype=np.int32)
-    live = np.arange(len(raw))
-    for j in range(1, order + 1):
-        before = np.where(at[live] >= j, raw[live - j], END)
-        deeper = child[node[live], before]
-        live = live[deeper >= 0]
-        node[live] = deeper[deeper >= 0]
-    total = np.concatenate([[0.0], np.cumsum(cost[node, raw], dtype=np.float64)])
-    return total[ends] - total[ends - size]
-
-
-def _scored(common, trie, order: int) -> Callable:
+    distinct, which = np.unique(_strings(raw, ends, order), return_inverse=True)
+    at = np.minimum(np.searchsorted(codes, distinct), max(len(codes) - 1, 0))
+    known = codes[at] == distinct if len(codes) else np.zeros(len(distinct), dtype=bool)
+    each = np.zeros(len(distinct))
+    each[known] = cost[at[known]]
+    total = np.concatenate([[0.0], np.cumsum(each[which])])
+    other = ~known[which]
+    text = np.repeat(np.arange(len(texts)), size)[other]
+    pairs, times = np.unique(text * len(distinct) + which[other], return_counts=True)
+    first = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(distinct))
+    found = pa.StructArray.from_arrays([pa.array(distinct[pairs % len(distinct)]), pa.array(times.astype(np.int64))], names=["code", "n"])
+    return total[ends] - total[ends - size], pa.ListArray.from_arrays(pa.array(first, pa.int32()), found)
+
+
+def _scored(common, costly, order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (child, cost) = common.value, trie.value.kept()
+        known, (codes, cost) = common.value, costly.value
         for batch in batches:
             at = 0
             for part in _grouped(batch.column("text").to_pylist()):
@@ -241,7 +303,7 @@ def _scored(common, trie, order: int) -> Callable:
                     n_known.append(len(here))
                     logs.append(sum(here))
                     rare.append([{"word": w, "n": n} for w, n in tail.items()])
-                score = _score(child, cost, order, [b" ".join(w) for w in part])
+                score, strange = _score(codes, cost, order, [b" ".join(w) for w in part])
                 rows = slice(at, at + len(part))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(
@@ -249,17 +311,34 @@ def _scored(common, trie, order: int) -> Callable:
                         batch.column("doc_id")[rows], batch.column("held_out")[rows],
                         pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()),
                         pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                        pa.array(score, pa.float64()),
+                        pa.array(score, pa.float64()), strange,
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_common", "log_common", "rare", "score"],
+                    names=["doc_id", "held_out", "n_tokens", "n_common", "log_common", "rare", "log_strings", "strange"],
                 )
 
     return run
 
 
-def score(documents: DataFrame, order: int = ORDER, most: int = CONTEXTS) -> DataFrame:
+def _commonest(counted: DataFrame, trie: DataFrame, order: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and costs of the commonest strings, at most ``STRINGS``."""
+    longest = counted.filter(F.col("depth") == order)
+    power = F.length(F.bin("n"))
+    least, size = 64, 0
+    for at, n in sorted(longest.groupBy(power.alias("power")).agg(F.count(F.lit(1))).collect(), reverse=True):
+        size += n
+        if size > STRINGS:
+            break
+        least = at
+    found = costs(longest.filter(power >= least).select("code"), counted, trie, order, most).toArrow()
+    codes, cost = found["code"].to_numpy(), found["cost"].to_numpy().astype(np.float32)
+    sort = np.argsort(codes)
+    return codes[sort], cost[sort]
+
+
+def score(documents: DataFrame, order: int = ORDER, most: int | None = None) -> DataFrame:
     """Scores of every document; ``held_out`` says which are not learned from.
 
+    All contexts are in the trie unless ``most`` is given, see ``costs``.
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = documents.sparkSession
@@ -272,12 +351,13 @@ def score(documents: DataFrame, order: int = ORDER, most: int = CONTEXTS) -> Dat
     total, distinct = n_words + ends, n_distinct + (ends > 0)
     frequent = F.col("n") * COMMON >= F.lit(total)
     common = {bytes(w): float(np.log10(n + 1)) for w, n in words.filter(frequent & (F.length("word") <= 64)).collect()}
-    trie = Trie(contexts(training, order, most))
-    sent = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(trie)
+    counted = strings(training, order)
+    trie = escapes(counted)
+    sent = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(_commonest(counted, trie, order, most))
     found = documents.mapInArrow(
         _scored(*sent, order),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_common bigint, log_common double, "
-        "rare array<struct<word:binary,n:bigint>>, score double",
+        "rare array<struct<word:binary,n:bigint>>, log_strings double, strange array<struct<code:bigint,n:bigint>>",
     )
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = found.select("row", F.inline("rare")).withColumnRenamed("n", "times")
@@ -286,13 +366,17 @@ def score(documents: DataFrame, order: int = ORDER, most: int = CONTEXTS) -> Dat
         .groupBy("row")
         .agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_rare"))
     )
+    strange = found.select("row", F.inline("strange"))
+    costly = written(costs(strange.select("code").distinct(), counted, trie, order, most), "costs")
+    # One row a string on that side, so that a string of many documents is split.
+    others = strange.join(costly, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("cost")).alias("log_strange"))
     base = (
         F.col("log_common") + F.coalesce("log_rare", F.lit(0.0)) + F.log10(F.lit(ends + 1.0))
         - F.col("n_tokens") * F.log10(F.lit(total + distinct + 1.0))
     )
-    return found.drop("rare").join(tail, "row", "left").select(
+    return found.drop("rare", "strange").join(tail, "row", "left").join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"), "score",
+        base.alias("base_score"), (F.col("log_strings") + F.coalesce("log_strange", F.lit(0.0))).alias("score"),
     )
