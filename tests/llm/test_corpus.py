@@ -238,6 +238,18 @@ def test_plan_is_no_worse_than_best_fit(low, high):
     assert lower <= sequences(plan, histogram) <= best_fit(histogram) + 3
 
 
+def test_plan_of_short_lengths_is_near_the_bound():
+    """Lengths of which every one is at most a quarter of the capacity are in the LP too."""
+    rng = np.random.default_rng(1)
+    for lengths, most in (
+        ([992] * 3000 + [544] * 2000, 1001),
+        (rng.integers(600, 1025, 20_000), 4050),
+        (rng.choice([700, 850, 990], 20_000, p=[0.3, 0.3, 0.4]), 4380),
+    ):
+        histogram = np.bincount(lengths, minlength=4097)
+        assert sequences(packing.plan(histogram), histogram) <= most
+
+
 def test_pricing_is_the_best_knapsack():
     rng = np.random.default_rng(2)
     prices = np.append(0, rng.random(12)) * (np.arange(13) % 3 != 0)

@@ -10,11 +10,15 @@
    of its demand that is covered, the best configuration at these prices is
    found by dynamic programming over the capacity, and is taken as often as
    raises its scarcest class by ``EPSILON``. The average is a fractional cover.
+   It is improved by simplex steps: as long as a configuration is worth more
+   than one sequence at the prices of the cover, it replaces another one.
 4. *Rounding.* The whole parts become patterns of exact lengths: each slot takes
    the longest length left in its class, the rest of the capacity is filled
    with the longest lengths that fit. What is left over is packed the same way
    without configurations. Every step uses up a length or a configuration, so
-   the plan has a bounded number of rows.
+   the plan has a bounded number of rows. The LP is solved for all classes, and
+   again with the classes of up to each of ``FILLERS`` steps left out of it, to
+   fill what configurations leave free; the plan of the fewest sequences stays.
 5. *Placement.* The plan says, for ranges of ranks of each length, which
    sequence and offset they get. The rank of a piece is its number in its task
    plus the pieces of that length in earlier tasks.
@@ -48,7 +52,9 @@ END_ID = 1
 STEP = 32
 EPSILON = 0.1
 # Lengths up to so many steps are left to fill what configurations leave free.
-FILLER_STEPS = 32
+FILLERS = (0, 4, 8, 16, 32)
+# Simplex steps for each class, at most; a cover is whole after any of them.
+PIVOTS = 20
 # Words, and words without case and punctuation, whose ids a worker remembers,
 # and the longest of them in bytes: some 45 MB.
 REMEMBERED = 90_000
@@ -189,17 +195,59 @@ def configurations(demand: np.ndarray, epsilon: float = EPSILON) -> list[tuple[n
     return sorted(((c, x) for c, x in found.values()), key=lambda e: -e[1])
 
 
+def improved(demand: np.ndarray, cover: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, float]]:
+    """The cover of least weight, by simplex steps; ``cover`` gives the first configurations to try."""
+    want = np.flatnonzero(demand)
+    if not len(want):
+        return []
+    basis = np.diag(((len(demand) - 1) // want).astype(float))
+    tried = [config[want].astype(float) for config, _ in cover]
+    prices = np.zeros(len(demand))
+    for _ in range(PIVOTS * len(want) + len(tried)):
+        weight, worth = np.linalg.solve(basis, demand[want]), np.linalg.solve(basis.T, np.ones(len(want)))
+        column = tried.pop() if tried else None
+        if column is None or column @ worth <= 1 + 1e-9:
+            if column is not None:
+                continue
+            prices[want] = np.maximum(worth, 0)
+            column = _best(prices)[want].astype(float)
+            if column @ worth <= 1 + 1e-9:
+                break
+        change = np.linalg.solve(basis, column)
+        steps = np.where(change > 1e-9, np.maximum(weight, 0) / np.maximum(change, 1e-9), np.inf)
+        basis[:, int(np.argmin(steps))] = column
+    out = []
+    for column, x in zip(basis.T, np.linalg.solve(basis, demand[want])):
+        if x > 1e-9:
+            config = np.zeros(len(demand), dtype=np.int64)
+            config[want] = column
+            out.append((config, float(x)))
+    return sorted(out, key=lambda e: -e[1])
+
+
 def plan(histogram: np.ndarray, step: int = STEP, epsilon: float = EPSILON) -> np.ndarray:
     """Rows (length, first rank, sequence of that rank, offset), sorted by length and rank.
 
     histogram[n] is the number of pieces of n tokens. A rank from the first on
     goes to as many sequences further.
     """
+    size_of = -(-np.arange(len(histogram)) // step)
+    demand = np.bincount(size_of, weights=histogram, minlength=(len(histogram) - 1) // step + 1).astype(np.int64)
+    found, tried = [], set()
+    for filler in FILLERS:
+        part = demand.copy()
+        part[: filler + 1] = 0
+        if part.tobytes() not in tried:
+            tried.add(part.tobytes())
+            cover = configurations(part, epsilon)
+            found += [_rounded(histogram, step, c) for c in (cover, improved(part, cover))]
+    return min(found, key=lambda e: e[0])[1]
+
+
+def _rounded(histogram: np.ndarray, step: int, cover: list[tuple[np.ndarray, float]]) -> tuple[int, np.ndarray]:
+    """The number of sequences, and the plan, that a fractional cover leads to."""
     capacity = len(histogram) - 1
     left, rank = histogram.astype(np.int64).copy(), np.zeros(capacity + 1, dtype=np.int64)
-    size_of = -(-np.arange(capacity + 1) // step)
-    demand = np.bincount(size_of, weights=histogram, minlength=capacity // step + 1).astype(np.int64)
-    demand[: FILLER_STEPS + 1] = 0
     rows, sequence = [], 0
 
     def pattern(classes: list[int]) -> dict[int, int]:
@@ -232,14 +280,14 @@ def plan(histogram: np.ndarray, step: int = STEP, epsilon: float = EPSILON) -> n
         sequence += times
         return times
 
-    for config, share in configurations(demand, epsilon):
+    for config, share in cover:
         classes = [s for s in np.flatnonzero(config)[::-1] for _ in range(config[s])]
-        wanted = int(share)
+        wanted = int(share + 1e-6)
         while wanted and left[1:].any():
             wanted -= place(pattern(classes), wanted)
     while left[1:].any():
         place(pattern([]), int(left.sum()))
-    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+    return sequence, np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
 def _placed(shared) -> Callable:
