@@ -78,11 +78,12 @@ def _after_midnight(stamp: Column, seconds: Column) -> Column:
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Narrow rows dealt by key, before text is joined to or made from them.
 
-    A small table arrives as one file and would keep the text work that
-    follows on one core. ``key`` must be evenly distributed. The number of
-    partitions is the session's and may be changed at run time.
+    A small table arrives as one file, and a shuffle of narrow rows is
+    coalesced to a few partitions; both would keep the text work that follows
+    on a few cores. ``key`` must be evenly distributed. The number of
+    partitions is the session's; being named, it is not changed at run time.
     """
-    return rows.repartition(key)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def remark(key: Column, shift: Column) -> Column:
@@ -160,8 +161,10 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = sorted(PART_THEMES, key=PART_THEMES.get)
     brands = sorted(range(63), key=str)
     brand = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+    # The aggregation, the work on themes and a join by response all use this
+    # one partitioning.
     per_order = (
-        items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        spread(items.join(parts, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey")
         .groupBy(F.col("l_orderkey").alias("response_id"))
         .agg(
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _place(words, word))).alias("name_bits"),
