@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covering, crf, packing, ppm, repetition, reputation, segments, substring, tallies, unigram
+from . import covering, crf, infill, packing, pivots, ppm, repetition, reputation, segments, substring, tallies, unigram
 from .storage import scratch, small_batches
 from .twins import SQL  # noqa: F401
 
@@ -84,10 +84,23 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.with_inertia(*pivots.clusters(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repetition, op2_unigram_pieces, op3_token_tallies, op4_language_crf, op5_ppm_score,
         op6_packing_lp, op7_segment_top_k, op8_substring_dedup, op9_simhash_covering, op10_host_reputation,
+        op12_laesa_clusters, op13_infill,
     )
 }

@@ -162,7 +162,54 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+OP13 = """
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, text, length(text) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM hashed),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, left(text, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+_ROUNDS = 5
+
+
+def _round(i: int) -> str:
+    """The vectors assigned to the centroids of round i, and the centroids of round i + 1."""
+    return f"""
+near_{i} AS MATERIALIZED (
+  SELECT vec_id, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT p.vec_id, c.k, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM points p, centroids_{i} c) GROUP BY vec_id),
+centroids_{i + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.v, c.v) AS v FROM centroids_{i} c LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (
+      SELECT k, j, sum(x)::HUGEINT AS s, count(*) AS n FROM (
+        SELECT n.k, unnest(p.v) AS x, generate_subscripts(p.v, 1) AS j FROM near_{i} n JOIN points p USING (vec_id)) GROUP BY k, j)
+    GROUP BY k) m USING (k))"""
+
+
+OP12 = f"""
+WITH points AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+centroids_0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INT AS k, v FROM points ORDER BY sha256('2:' || vec_id) LIMIT 40),
+{','.join(_round(i) for i in range(_ROUNDS + 1))},
+named AS (SELECT k, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM centroids_{_ROUNDS})
+SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM near_{_ROUNDS} JOIN named USING (k)
+"""
+
 SQL = {
     "op1_repetition": OP1, "op3_token_tallies": OP3, "op7_segment_top_k": OP7, "op8_substring_dedup": OP8,
-    "op10_host_reputation": OP10,
+    "op10_host_reputation": OP10, "op12_laesa_clusters": OP12, "op13_infill": OP13,
 }
