@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covering, crf, infill, packing, pivots, ppm, repetition, reputation, segments, substring, tallies, unigram
+from . import covering, crf, crosspolytope, infill, packing, pivots, ppm, repetition, reputation, segments, substring, tallies, unigram
 from .storage import scratch, small_batches
 from .twins import SQL  # noqa: F401
 
@@ -84,6 +84,11 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = crosspolytope.Index(_read(spark, sf_dir, "embeddings"))
+    return index.search(index.queries(F.col("vec_id") % 20 == 0))
+
+
 def op12_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.with_inertia(*pivots.clusters(_read(spark, sf_dir, "embeddings")))
 
@@ -101,6 +106,6 @@ QUERIES = {
     for f in (
         op1_repetition, op2_unigram_pieces, op3_token_tallies, op4_language_crf, op5_ppm_score,
         op6_packing_lp, op7_segment_top_k, op8_substring_dedup, op9_simhash_covering, op10_host_reputation,
-        op12_laesa_clusters, op13_infill,
+        op11_cross_polytope, op12_laesa_clusters, op13_infill,
     )
 }
