@@ -57,10 +57,10 @@ class Exceptions:
 
 def check_sentinels(sentinels: Sequence[str]) -> None:
     """Raise unless an output can be taken apart again at its sentinels."""
-    for a in sentinels:
-        for b in sentinels:
-            ends = any(a.endswith(b[:i]) for i in range(1, len(b)))
-            if not a or ends or (a is not b and a in b):
+    for i, a in enumerate(sentinels):
+        for j, b in enumerate(sentinels):
+            ends = any(a.endswith(b[:n]) for n in range(1, len(b)))
+            if not a or ends or (i != j and a in b):
                 raise ValueError(f"sentinels overlap: {a!r}, {b!r}")
 
 

@@ -59,7 +59,7 @@ def start(points: DataFrame, clusters: int, seed: int) -> np.ndarray:
     """The vectors with the least hash of ``<seed>:<vec_id>``, in that order."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = points.orderBy(F.asc_nulls_last(key), "v").limit(clusters).select("v").collect()
-    return np.array([r.v for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], dtype=np.int64) if rows else np.zeros((0, 0), dtype=np.int64)
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
