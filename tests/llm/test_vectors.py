@@ -214,7 +214,7 @@ def test_infill_against_slices(spark):
 
 
 def test_infill_with_other_sentinels(spark):
-    marks = (".*", "\\E[x]", "|mid|")
+    marks = (".*", "\\E[x]", "|mid>")
     rows = [(i, prose(i, 30) + "\\E.") for i in range(30)] + [(40, "a.*b"), (41, "\\E[x]")]
     got = infill.transform(documents(spark, rows), sentinels=marks, plain_from=100, spm_below=50)
     back = got.select("doc_id", infill.restored(F.col("output"), F.col("form"), marks).alias("back"))
