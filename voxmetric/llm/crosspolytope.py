@@ -226,10 +226,19 @@ class Index:
     @staticmethod
     def _extent(rows: DataFrame) -> tuple[int, float]:
         """Greatest number of components and binary logarithm of the greatest length."""
-        most = F.array_max(F.transform("v", F.abs))
-        length = F.log2(most) + F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2
-        width, longest = rows.agg(F.max(F.size("v")), F.max(length)).first()
-        return width or 1, longest or 0.0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            width, longest = 0, -np.inf
+            for batch in batches:
+                lists = batch.column("v")
+                size = np.diff(lists.offsets.to_numpy())
+                if len(size):
+                    width, longest = max(width, int(size.max())), max(longest, float(lengths(matrix(lists, int(size.max()))).max()))
+            yield pa.RecordBatch.from_arrays([pa.array([width]), pa.array([longest])], names=["width", "longest"])
+
+        found = rows.select("v").mapInArrow(run, "width bigint, longest double")
+        width, longest = found.agg(F.max("width"), F.max("longest")).first()
+        return (width, longest) if width else (1, 0.0)
 
     def queries(self, is_query: Column) -> DataFrame:
         """(vec_id, v) of the rows that are queries, one an id."""
