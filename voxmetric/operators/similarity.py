@@ -16,7 +16,7 @@ from .nps import top_per_group
 BLOCK, SHARD = 1024, 16_384
 
 
-def _usable(embeddings: DataFrame, width: int) -> DataFrame:
+def usable(embeddings: DataFrame, width: int) -> DataFrame:
     """Vectors of the width that have a direction; all others have no cosine."""
     lengthy = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x) > 0
     return embeddings.filter((F.size("embedding") == width) & lengthy).select("response_id", "embedding")
@@ -32,7 +32,7 @@ def nearest_to_vector(
 ) -> DataFrame:
     """The ``k`` responses closest to a query vector: ``1 - cosine distance``."""
     run = nearest_rows(np.asarray(vector, dtype="float64"), k)
-    found = _usable(embeddings, len(vector)).mapInArrow(run, "response_id bigint, similarity double")
+    found = usable(embeddings, len(vector)).mapInArrow(run, "response_id bigint, similarity double")
     return _ranked(found, k)
 
 
@@ -68,7 +68,7 @@ def nearest_to_many(
     shard) is one group of bounded size that returns k rows per query. Any
     number of queries can be given; they never pass through the driver.
     """
-    rows, asked = _usable(embeddings, width), _usable(queries, width)
+    rows, asked = usable(embeddings, width), usable(queries, width)
     block, blocks = _parts(asked, "block", BLOCK)
     shard, shards = _parts(rows, "shard", SHARD)
     left = asked.select("*", block).select("*", shards)
@@ -98,7 +98,7 @@ def fit_centroids(
     embeddings: DataFrame, width: int, *, lists: int = 100, seed: int = 17, iterations: int = 10
 ) -> np.ndarray:
     """Centroids of an index, by k-means on the directions of all embeddings."""
-    data = _usable(embeddings, width).select(
+    data = usable(embeddings, width).select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
     model = KMeans(
@@ -113,7 +113,7 @@ def assign_lists(embeddings: DataFrame, centroids: np.ndarray) -> DataFrame:
     Equal similarities go to the smaller list id. No shuffle.
     """
     kind = embeddings.schema["embedding"].dataType.simpleString()
-    return _usable(embeddings, centroids.shape[1]).mapInArrow(
+    return usable(embeddings, centroids.shape[1]).mapInArrow(
         nearest_centroid(centroids), f"response_id bigint, embedding {kind}, list_id int"
     )
 

@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ...operators import enrichment, similarity, text, themes
-from ...session import staging_root
+from ...operators import enrichment, similarity, text, themes, vector_index
+from ...session import scratch, staging_root
 from ...sources import reference_data as ref
 from .. import bindings
 from .base import (
@@ -447,13 +447,18 @@ add(
 )
 
 
+def _found(exact, near):
+    """Counts of the exact neighbours, and of those that a search found."""
+    hits = exact.join(near.withColumn("hit", F.lit(1)), exact.columns, "left")
+    return hits.agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted"))
+
+
 def _recall(t):
     """Share of the exact nearest responses that the probed lists hold."""
     vector = similarity.vector_of(t.embeddings, 7)
     exact = similarity.nearest_to_vector(t.embeddings, vector, 15).select("response_id")
     near = similarity.nearest_in_lists(_index(t), _centroids(t), vector, k=15, probes=_PROBES)
-    hits = exact.join(near.select("response_id", F.lit(1).alias("hit")), "response_id", "left")
-    return hits.agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted"))
+    return _found(exact, near.select("response_id"))
 
 
 add(
@@ -463,3 +468,45 @@ add(
         join listed l on l.vec_id = e.vec_id, embeddings q where q.vec_id = 7 order by {_SIM} desc, 1 limit 15)
       select count(p.list_id) as found, count(*) as wanted from exact left join probed p on p.list_id = exact.list_id""",
 )
+
+
+# An index with fitted centroids and codes, asked for every 50th response.
+_K, _FOLDED = 15, "response_id % 50 = 0"
+
+
+def _fitted(t):
+    """(index, its queries, fitted probes): fitted, written and loaded again."""
+    path = scratch(t.spark, "index")
+    vector_index.Index.create(t.embeddings, path, vector_index.fit(t.embeddings, WIDTH))
+    index = vector_index.Index.load(t.spark, path)
+    return index, t.embeddings.filter(_FOLDED), index.fit_probes(t.embeddings, k=_K)
+
+
+def _index_search(t):
+    index, queries, probes = _fitted(t)
+    return _rounded(index.search(queries, k=_K, probes=probes))
+
+
+def _index_recall(t):
+    """Whether nine tenths of the exact neighbours of all queries are found."""
+    index, queries, probes = _fitted(t)
+    exact = similarity.nearest_to_many(t.embeddings, queries, WIDTH, _K).select("query_id", "response_id")
+    near = index.search(queries, k=_K, probes=probes).select("query_id", "response_id")
+    return _found(exact, near).select("wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
+def _index_exact(t):
+    """All lists probed and all rows compared: the exact neighbours."""
+    index, queries, _ = _fitted(t)
+    lists = len(index.model.centroids)
+    return _rounded(index.search(queries, k=_K, probes=lists, depth=1 << 30))
+
+
+_EVERY_50TH = f"""select query_id, response_id, similarity, cast(rank as int) as rank from (
+      select q.vec_id as query_id, e.vec_id as response_id, {_SIM} as similarity,
+        row_number() over (partition by q.vec_id order by {_SIM} desc, e.vec_id) as rank
+      from embeddings e, embeddings q where q.vec_id % 50 = 0 and e.vec_id <> q.vec_id) where rank <= {_K}"""
+
+add("similar_index", "VEC-3", _index_search)
+add("similar_index_all", "VEC-3", _index_exact, _EVERY_50TH)
+add("similar_index_recall", "VEC-3", _index_recall, f"select count(*) as wanted, true as reached from ({_EVERY_50TH})")
