@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scores
-from ..functions.matching import contains_any, first_label, let, sql_text
+from ..functions.automaton import found_groups
+from ..functions.matching import contains_any, let, sql_text, word_array
 from ..functions.rounding import rounded_ratio
 from ..sources import reference_data as ref
 from .lookup import lookup_join, total_of
@@ -24,7 +25,8 @@ Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
 def rule_target(comment: Column, rules: Rules) -> Column:
     """Theme of the first rule with a keyword in the comment, else NULL."""
-    return first_label(comment, rules)
+    found = found_groups(F.lower(comment), [[w.lower() for w in words] for _, words in rules])
+    return F.get(word_array([label for label, _ in rules]), F.get(found, F.lit(0)))
 
 
 def reclassify(
@@ -40,12 +42,9 @@ def reclassify(
     (response, new label) pairs of hits enter the join, never the text.
     """
     flat = tuple(rule for rules in rule_sets for rule in rules)
-    # Exploding the found label drops the misses without a second evaluation
-    # of the rules in a filter.
-    found = F.array_compact(F.array(rule_target(F.col("nps_explanation"), flat)))
     targets = responses.select(
-        F.col("id").alias("response_id"), F.explode(found).alias("target")
-    )
+        F.col("id").alias("response_id"), rule_target(F.col("nps_explanation"), flat).alias("target")
+    ).filter(F.col("target").isNotNull())
     # Only repeats that the replacement makes go: the target is put where the
     # first catch-all was, unless the list has it already.
     others = F.filter("themes", lambda t: t.isNull() | (t != catch_all))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cleaning
-from ..functions.matching import contains_any, let, word_array
+from ..functions.automaton import found_groups
+from ..functions.matching import word_array
 from ..functions.rounding import rounded_ratio
 from ..sources import reference_data as ref
 from .filters import has_comment
@@ -106,10 +107,6 @@ def theme_keywords(theme: str) -> tuple[str, ...]:
     return ref.FREQUENCY_KEYWORDS.get(theme, (theme,))
 
 
-def _has_word(low: Column, keywords: Sequence[str]) -> Column:
-    return F.coalesce(contains_any(low, [k.lower() for k in keywords]), F.lit(False))
-
-
 def theme_frequency(
     responses: DataFrame, themes: Sequence[str], column: str = "nps_explanation"
 ) -> DataFrame:
@@ -117,13 +114,10 @@ def theme_frequency(
 
     All themes are counted in one pass over the comments.
     """
-    found = let(
-        F.lower(column),
-        lambda low: F.array(*[_has_word(low, theme_keywords(t)) for t in themes]),
-    )
+    found = found_groups(F.lower(column), [[k.lower() for k in theme_keywords(t)] for t in themes])
     totals = responses.select(found.alias("found")).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("found")[i]).alias(f"m_{i}") for i in range(len(themes))],
+        *[F.count_if(F.array_contains("found", F.lit(i))).alias(f"m_{i}") for i in range(len(themes))],
     )
     rows = F.array(
         *[
@@ -194,15 +188,10 @@ def classify_comment(
     comment: Column, taxonomy: Sequence[tuple[str, Sequence[str]]] = ref.COMMENT_TAXONOMY
 ) -> Column:
     """Labels of the taxonomy whose keywords occur in a comment; catch-all if none."""
-    hits = let(
-        F.lower(comment),
-        lambda low: F.array_compact(
-            F.array(*[F.when(_has_word(low, kws), label) for label, kws in taxonomy])
-        ),
-    )
-    return let(
-        hits, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.lit(ref.CATCH_ALL)))
-    )
+    labels = word_array([label for label, _ in taxonomy])
+    found = found_groups(F.lower(comment), [[k.lower() for k in kws] for _, kws in taxonomy])
+    hits = F.transform(found, lambda i: F.get(labels, i))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(ref.CATCH_ALL)))
 
 
 def matched_keywords(
@@ -210,10 +199,8 @@ def matched_keywords(
 ) -> Column:
     """Taxonomy keywords that occur in a comment."""
     kws = list(dict.fromkeys(k for _, group in taxonomy for k in group))
-    return let(
-        F.lower(comment),
-        lambda low: F.filter(word_array(kws), lambda w: low.contains(w)),
-    )
+    words_ = word_array(kws)
+    return F.transform(found_groups(F.lower(comment), [[k] for k in kws]), lambda i: F.get(words_, i))
 
 
 def theme_scores(
