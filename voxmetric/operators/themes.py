@@ -9,7 +9,7 @@ of mentions, both with map-side partial aggregation and no distinct shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,14 +50,20 @@ def theme_hits(named: Column) -> Column:
     counted later without a distinct. ``named`` should be a plain column: it
     is read once per distinct theme.
     """
-    return F.transform(
-        F.array_distinct(named),
-        lambda t, i: F.struct(
-            t.alias("theme"),
-            F.size(F.filter(named, lambda x: x.eqNullSafe(t))).alias("hits"),
-            (i == 0).alias("lead"),
-        ),
-    )
+
+    def hits(t: Column) -> Column:
+        return F.size(F.filter(named, lambda x: x.eqNullSafe(t)))
+
+    distinct = F.array_distinct(named)
+
+    def entries(count: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            distinct,
+            lambda t, i: F.struct(t.alias("theme"), count(t).alias("hits"), (i == 0).alias("lead")),
+        )
+
+    # Only a list with repeats needs to be searched for each of its themes.
+    return F.when(F.size(distinct) < F.size(named), entries(hits)).otherwise(entries(lambda t: F.lit(1)))
 
 
 def assignments(
