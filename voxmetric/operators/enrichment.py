@@ -153,7 +153,7 @@ def _clean_answers(answers: DataFrame) -> DataFrame:
 
 
 def _named(answers: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Answer rows exploded to (response, position, name, slug).
+    """Answer rows exploded to (response, position, name).
 
     Position -1 is an accepted new theme; a row without any theme gets the
     catch-all.
@@ -175,20 +175,28 @@ def _named(answers: DataFrame, dimension: DataFrame) -> DataFrame:
         "confidence",
         "primary",
         F.inline(F.when(F.size(entries) > 0, entries).otherwise(catch_all)),
-    ).withColumn("slug", cleaning.slug(F.col("name")))
+    )
 
 
 def _canonical(used: DataFrame, dimension: DataFrame) -> DataFrame:
-    """(slug, canonical, fresh) of every slug that is used or known.
+    """(name, slug, canonical, fresh) of every name that is used.
 
-    The name of a known slug is the dimension's, that of a new one its first use.
+    The canonical name of a known slug is the dimension's, that of a new one its
+    first use. Least uses merge: a task sends one row for each of its names, and
+    slugs are made from distinct names.
     """
-    at = F.struct("response_id", "position", "name")
-    first = used.groupBy("slug").agg(F.min(at).alias("use")).select("slug", F.col("use.name").alias("used"))
+    # The place of a use as one number, which a hash aggregation keeps in place.
+    at = F.col("response_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("position")
+    # The hash keeps all columns of ``used`` alive, so that its shuffled rows
+    # are the ones that the caller reads, and are made once.
+    by_name = used.groupBy("name").agg(F.min(at).alias("at"), F.max(F.xxhash64(*used.columns)).alias("whole"))
+    by_name = by_name.filter(F.col("whole").isNotNull()).select("name", "at", cleaning.slug(F.col("name")).alias("slug"))
+    first = by_name.groupBy("slug").agg(F.min(F.struct("at", "name")).alias("use"))
     known = dimension.groupBy("slug").agg(F.min("name").alias("known"))
-    return first.join(known, "slug", "left").select(
-        "slug", F.coalesce("known", "used").alias("canonical"), F.col("known").isNull().alias("fresh")
+    canonical = first.join(known, "slug", "left").select(
+        "slug", F.coalesce("known", "use.name").alias("canonical"), F.col("known").isNull().alias("fresh")
     )
+    return by_name.select("name", "slug").join(canonical, "slug")
 
 
 def one_answer(answers: DataFrame) -> DataFrame:
@@ -204,7 +212,7 @@ def one_answer(answers: DataFrame) -> DataFrame:
 def new_themes(answers: DataFrame, dimension: DataFrame) -> DataFrame:
     """Dimension rows (name, slug) to append: one per unseen slug, first use wins."""
     found = _canonical(_named(one_answer(answers), dimension), dimension).filter("fresh")
-    return found.select(F.col("canonical").alias("name"), "slug")
+    return found.select(F.col("canonical").alias("name"), "slug").distinct()
 
 
 def reconcile(answers: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -215,8 +223,11 @@ def reconcile(answers: DataFrame, dimension: DataFrame) -> DataFrame:
     accepted new theme becomes the primary theme and leads the list. Nothing is
     written and no job starts before the result is read.
     """
+    # One shuffle that both the dictionary and the join read, and the grouping by
+    # response finds in place.
     used = _named(one_answer(answers), dimension)
-    rows = lookup_join(used, _canonical(used, dimension).drop("fresh"), "slug")
+    used = used.repartition(int(used.sparkSession.conf.get("spark.sql.shuffle.partitions")), "response_id")
+    rows = lookup_join(used, _canonical(used, dimension).select("name", "canonical"), "name")
     grouped = rows.groupBy("response_id").agg(
         F.min(F.struct("sentiment", "confidence", "primary")).alias("answer"),
         F.array_sort(F.collect_list(F.struct("position", "name", "canonical"))).alias("e"),

@@ -280,30 +280,30 @@ def _slug(col):
     return f"trim(regexp_replace(lower({col}), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
+# Every step is materialised and unnested by itself: no correlated or repeated part.
 _RECONCILED = f"""{_ANSWER_FIELDS}, {_KNOWN},
-  dim as (select name, {_slug('name')} as slug from known),
-  tidy as (select response_id, sentiment, confidence, trim(primary_theme) as prim,
+  dim as materialized (select {_slug('name')} as slug, min(name) as known from known group by 1),
+  tidy as materialized (select response_id, sentiment, confidence, trim(primary_theme) as prim,
       trim(coalesce(new_theme, '')) as proposed,
       list_filter(list_transform(themes, lambda x: trim(x)), lambda x: x <> '') as themes from parsed),
-  decided as (select *, proposed <> '' and (lower(prim) = lower(proposed)
-      or k.name is null) as adopted from tidy left join (select distinct name from known) k on k.name = prim),
-  entries as (
-    select response_id, u.ord - 1 as pos, u.t as name from decided d, unnest(d.themes) with ordinality as u(t, ord)
-    union all select response_id, -1, proposed from decided where adopted
-    union all select response_id, 0, 'overige' from decided where not adopted and len(themes) = 0),
-  slugged as (select *, {_slug('name')} as slug from entries),
-  fresh as (select s.slug, arg_min(s.name, response_id * 1000 + pos) as name from slugged s
-    left join (select distinct slug from dim) d on d.slug = s.slug where d.slug is null group by s.slug),
-  named as (select s.*, coalesce(d.name, f.name) as canonical from slugged s
-    left join (select slug, min(name) as name from dim group by slug) d on d.slug = s.slug
-    left join fresh f on f.slug = s.slug),
-  proposal as (select response_id, canonical from named where pos = -1),
-  present as (select distinct x.response_id from named x join proposal p on p.response_id = x.response_id
-    where x.pos >= 0 and x.name = p.canonical),
-  kept as (select n.* from named n left join present q on q.response_id = n.response_id
-    where n.pos >= 0 or q.response_id is null),
-  listed as (select response_id, list(canonical order by first_at) as themes from
-    (select response_id, canonical, min(pos) as first_at from kept group by all) group by response_id)"""
+  decided as materialized (select *, proposed <> '' and (lower(prim) = lower(proposed)
+      or prim not in ({words(bindings.KNOWN_THEMES)})) as adopted from tidy),
+  packed as materialized (select response_id, case when adopted then list_prepend(proposed, themes)
+      when len(themes) = 0 then ['overige'] else themes end as names, case when adopted then 2 else 1 end as skip from decided),
+  entries as materialized (select response_id, generate_subscripts(names, 1) - skip as pos, unnest(names) as name from packed),
+  slugs as materialized (select name, {_slug('name')} as slug, min(response_id * 1000 + pos) as first_at from entries group by name),
+  uses as materialized (select slug, arg_min(name, first_at) as used from slugs group by slug),
+  canon as materialized (select s.name, s.slug, coalesce(d.known, u.used) as canonical, d.known is null as new
+    from slugs s join uses u on u.slug = s.slug left join dim d on d.slug = s.slug),
+  fresh as (select distinct canonical as name, slug from canon where new),
+  named as materialized (select e.*, c.canonical from entries e join canon c on c.name = e.name),
+  grouped as materialized (select response_id, max(canonical) filter (where pos = -1) as proposal,
+      coalesce(list(name) filter (where pos >= 0), []) as names,
+      coalesce(list(canonical order by pos) filter (where pos >= 0), []) as listed from named group by response_id),
+  merged as materialized (select response_id, proposal, case when proposal is not null
+      and not list_contains(names, proposal) then list_prepend(proposal, listed) else listed end as every from grouped),
+  listed as materialized (select response_id, proposal, list_filter(every, lambda x, i: list_position(every, x) = i) as themes
+    from merged)"""
 add(
     "reconcile_themes", "TXT-12 CLN-13",
     lambda t: enrichment.reconcile(_parsed(t), bindings.theme_dimension(t.spark)).withColumn(
@@ -311,10 +311,9 @@ add(
     ),
     with_enrichment(
         f""", {_RECONCILED}
-        select d.response_id, coalesce(p.canonical, nullif(d.prim, ''), l.themes[1]) as primary_theme,
+        select d.response_id, coalesce(l.proposal, nullif(d.prim, ''), l.themes[1]) as primary_theme,
           array_to_string(l.themes, '|') as themes, d.sentiment, d.confidence
-        from decided d join listed l on l.response_id = d.response_id
-          left join proposal p on p.response_id = d.response_id"""
+        from decided d join listed l on l.response_id = d.response_id"""
     ),
 )
 add(
