@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ...operators import quality
 from ...session import scratch
-from ...sources import ingest, tables, upload
+from ...sources import csv_blocks, ingest, tables, upload
 from ...streaming import jobs
 from .. import bindings
 from .base import add, with_responses
@@ -52,6 +52,36 @@ add(
 )
 
 
+def _blocks(t):
+    """Rows by the reader in blocks; the export's own row number comes back as a column."""
+    path = f"{scratch(t.spark, 'exports')}/t"
+    t.export.withColumnRenamed("row_number", "id").repartition(2).write.options(**_TO_CSV).csv(path)
+    raw = csv_blocks.read_blocks(t.spark, path)
+    ids = raw.select("source_file", "row_number", F.col("id").cast("bigint").alias("id"))
+    rows = ingest.valid_rows(ingest.normalize(raw.drop("id")))
+    return rows.join(ids, ["source_file", "row_number"]).select(
+        "id", "survey_name", "nps_score", "nps_explanation", "gender", "age_range", "creation_date", "title_text", "nps_category",
+    )
+
+
+add(
+    "file_blocks", "ING-1 ING-5",
+    _blocks,
+    with_responses(f", {_EXPORT} select id, {_FIELDS} from normal where error is null"),
+)
+add(
+    "file_block_numbers", "ING-1 ING-6",
+    lambda t: csv_blocks.read_blocks(t.spark, _exports(t))
+    .groupBy("source_file")
+    .agg(F.min("row_number").alias("a"), F.max("row_number").alias("z"), F.countDistinct("row_number").alias("n"))
+    .agg(
+        F.sum("n").alias("rows"),
+        F.count_if((F.col("a") != 1) | (F.col("z") != F.col("n"))).alias("files_with_gaps"),
+    ),
+    "select count(*) as rows, 0::bigint as files_with_gaps from orders",
+)
+
+
 def _appended(t):
     path = f"{scratch(t.spark, 'responses')}/t"
     rows = t.responses.select("id", "survey_name", "nps_score", "creation_date")
@@ -88,10 +118,10 @@ add("table_upsert", "DQ-11 DQ-12", _upserted, _UPSERTED)
 
 
 def _upload(t):
-    """A wide upload file: one respondent a row, as many questions as turns."""
+    """Wide upload files: one respondent a row, as many questions as turns."""
     path = f"{scratch(t.spark, 'upload')}/answers"
-    wide = bindings.wide_upload(t.spark, t.sf_dir).drop("survey_id", "file_order")
-    wide.coalesce(1).write.options(**_TO_CSV).csv(path)
+    wide = bindings.spread(bindings.wide_upload(t.spark, t.sf_dir), "file_order")
+    wide.drop("survey_id", "file_order").write.options(**_TO_CSV).csv(path)
     return upload.read_upload(t.spark, path)
 
 
@@ -117,7 +147,7 @@ add(
 def _header(t):
     """The header record of the upload, appended to a table and read back."""
     frame, structure = _upload(t)
-    people = upload.to_long(frame, structure).select("row_number").distinct().count()
+    people = upload.to_long(frame, structure).select("survey_id", "row_number").distinct().count()
     path = f"{scratch(t.spark, 'headers')}/t"
     tables.append(upload.header_record(t.spark, "u1", "answers.csv", structure, people), path)
     return t.spark.read.parquet(path).select(
