@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ...operators import quality
 from ...session import scratch
-from ...sources import csv_blocks, ingest, tables, upload
+from ...sources import csv_blocks, ingest, snapshots, tables, upload
 from ...streaming import jobs
 from .. import bindings
 from .base import add, with_responses
@@ -102,19 +102,45 @@ add(
 
 def _upserted(t):
     """Repeated keys go into a stored table; only their buckets are rewritten."""
+    rows, incoming = _versions_in_two(t)
+    path = f"{scratch(t.spark, 'keyed')}/t"
+    tables.write_keyed(rows, path, "response_id", 8)
+    tables.upsert_table(incoming, path, "response_id", 8, t.responses, newest=["version"])
+    return t.spark.read.parquet(path).select("response_id", "row_id", "version")
+
+
+def _versions_in_two(t):
+    """A first state of a table, and rows that change it."""
     rows = quality.newest_per_key(_versions(t), "response_id", "created_at", "row_id").select(
         "response_id", "row_id", "version"
     )
-    path = f"{scratch(t.spark, 'keyed')}/t"
-    tables.write_keyed(rows.filter(F.col("version") < 30), path, "response_id", 8)
     times = F.explode(F.array(*[F.lit(x) for x in (200, 300, 100)])).alias("plus")
     incoming = rows.filter((F.col("version") % 2) == 0).select("*", times)
     incoming = incoming.withColumn("version", F.col("version") + F.col("plus")).drop("plus")
-    tables.upsert_table(incoming, path, "response_id", 8, t.responses, newest=["version"])
-    return t.spark.read.parquet(path).select("response_id", "row_id", "version")
+    return rows.filter(F.col("version") < 30), incoming
+
+
+def _snapshots(t):
+    """The same by commits: rows go into deltas, which a read merges by key."""
+    rows, incoming = _versions_in_two(t)
+    table = snapshots.KeyedTable.create(rows, f"{scratch(t.spark, 'snapshots')}/t", "response_id", 8)
+    for part in (0, 1):
+        table.upsert(incoming.filter(F.col("row_id") % 2 == part), t.responses, newest=["version"])
+    return table
 
 
 add("table_upsert", "DQ-11 DQ-12", _upserted, _UPSERTED)
+add("table_snapshot", "DQ-11 DQ-12 ING-8", lambda t: _snapshots(t).read(), _UPSERTED)
+
+
+def _compacted(t):
+    table = _snapshots(t)
+    table.compact()
+    table.vacuum()
+    return table.read()
+
+
+add("table_snapshot_compacted", "DQ-11 DQ-12 ING-8", _compacted, _UPSERTED)
 
 
 def _upload(t):
