@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from ...operators import quality
 from ...session import scratch
-from ...sources import csv_blocks, ingest, snapshots, tables, upload
+from ...sources import csv_blocks, ingest, skipping, snapshots, tables, upload
 from ...streaming import jobs
 from .. import bindings
-from .base import add, with_responses
+from .base import add, with_commented, with_commented_enrichment, with_responses
 from .ingest import _EXPORT, _FIELDS
 from .quality import _UPSERTED, _versions
 
@@ -143,6 +143,48 @@ def _compacted(t):
 add("table_snapshot_compacted", "DQ-11 DQ-12 ING-8", _compacted, _UPSERTED)
 
 
+def _indexed(t):
+    """Commented responses with their themes, in a table with side tables."""
+    rows = t.commented.join(t.enrichment.withColumnRenamed("response_id", "id").select("id", "themes"), "id", "left")
+    rows = rows.select("id", "nps_score", "nps_explanation", "created_at", "themes")
+    table = skipping.IndexedTable(
+        t.spark, f"{scratch(t.spark, 'indexed')}/t", themes="themes", text="nps_explanation", stamp="created_at"
+    )
+    table.append(rows)
+    return table
+
+
+add(
+    "filter_has_theme_indexed", "FLT-7 THM-11",
+    lambda t: _indexed(t).has_theme("overige").select("id", F.size("themes").alias("n_themes")),
+    with_commented_enrichment(
+        """select c.id, cast(len(e.themes) as int) as n_themes from commented c join enrichment e on e.response_id = c.id
+        where list_contains(e.themes, 'overige')"""
+    ),
+)
+add(
+    "theme_counts_indexed", "FLT-7 THM-20",
+    lambda t: _indexed(t).theme_counts(),
+    with_commented_enrichment(
+        """select theme, count(distinct id) as n from (select c.id, unnest(e.themes) as theme
+        from commented c join enrichment e on e.response_id = c.id) group by theme"""
+    ),
+)
+add(
+    "filter_text_search_indexed", "FLT-6",
+    lambda t: _indexed(t).search("BEZORGING").select("id", "nps_score"),
+    with_commented("select id, nps_score from commented where nps_explanation ilike '%bezorging%'"),
+)
+add(
+    "response_page_deep", "SRT-3",
+    lambda t: _indexed(t).page(1000, 40).select("id", F.unix_seconds("created_at").alias("seconds"), "nps_score"),
+    with_commented(
+        """select id, cast(epoch(created_at) as bigint) as seconds, nps_score from commented
+        order by created_at desc nulls last, id limit 40 offset 1000"""
+    ),
+)
+
+
 def _upload(t):
     """Wide upload files: one respondent a row, as many questions as turns."""
     path = f"{scratch(t.spark, 'upload')}/answers"
