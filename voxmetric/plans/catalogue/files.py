@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ...operators import quality
 from ...session import scratch
 from ...sources import csv_blocks, ingest, skipping, snapshots, tables, upload
-from ...streaming import jobs
+from ...streaming import jobs, maintained
 from .. import bindings
 from .base import add, with_commented, with_commented_enrichment, with_responses
 from .ingest import _EXPORT, _FIELDS
@@ -294,3 +294,34 @@ add(
           <= (select max(created_at) from responses) - interval 2 days"""
     ),
 )
+
+
+def _corrected(t):
+    """Responses, then corrected scores and deletions, as a stream of changes."""
+    root, source = scratch(t.spark, "corrected"), scratch(t.spark, "changes")
+    kept = ["id", "version", "deleted", "survey_name", "created_at", "nps_score"]
+    rows = t.responses.select(
+        "id", F.lit(1).cast("bigint").alias("version"), F.lit(False).alias("deleted"), "survey_name", "created_at", "nps_score"
+    )
+    later = rows.filter(F.col("id") % 3 == 0).withColumns(
+        {"version": F.lit(2).cast("bigint"), "deleted": F.col("id") % 9 == 0, "nps_score": (F.col("nps_score") + 4) % 11}
+    )
+    for part in (rows, later):
+        part.select(kept).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(maintained.CHANGE).option("maxFilesPerTrigger", 4).parquet(source)
+    maintained.maintain(stream, f"{root}/t", f"{root}/checkpoint", 8).awaitTermination()
+    return maintained.MaintainedTrend(t.spark, f"{root}/t").trend()
+
+
+add(
+    "stream_corrected_trend", "AGG-8 STR-2",
+    lambda t: _corrected(t).drop("daily_nps_score", "daily_avg_score"),
+    with_responses(
+        """, last as (select survey_name, cast(created_at as date) as day,
+            case when id % 3 = 0 then (nps_score + 4) % 11 else nps_score end as nps_score from responses where id % 9 <> 0)
+        select survey_name, day, count(*) as daily_responses,
+          count(*) filter (where nps_score >= 9) as daily_promoters,
+          count(*) filter (where nps_score between 7 and 8) as daily_passives,
+          count(*) filter (where nps_score <= 6) as daily_detractors from last group by all"""
+    ),
+)

@@ -89,15 +89,15 @@ class KeyedTable:
         self.path = self.files.path
 
     @classmethod
-    def create(cls, rows: DataFrame, path: str, key: str, buckets: int) -> KeyedTable:
+    def create(cls, rows: DataFrame, path: str, key: str, buckets: int, notes: dict | None = None) -> KeyedTable:
         """New table; ``key`` and ``buckets`` are kept with it. Of rows with one key one stays."""
         table = cls(rows.sparkSession, path)
         if table.files.versions():
             raise FileExistsError(f"a table exists at {path}")
         layer, touched = table._write(one_per_key(rows, key), key, buckets)
-        table.files.publish(
-            {"version": 1, "key": key, "buckets": buckets, "schema": rows.schema.jsonValue(), "layers": {str(b): [layer] for b in touched}}
-        )
+        layers = {str(b): [layer] for b in touched}
+        first = {"version": 1, "key": key, "buckets": buckets, "schema": rows.schema.jsonValue(), "layers": layers}
+        table.files.publish((notes or {}) | first)
         return table
 
     def bucket_of(self, manifest: dict) -> Column:
@@ -146,12 +146,14 @@ class KeyedTable:
         touch: str | None = "updated_at",
         newest: Sequence[str] = (),
         buckets: int | None = None,
+        notes: dict | None = None,
     ) -> int:
         """Insert or replace rows by key; returns the new version.
 
         Incoming rows without a parent are left out, and of those with one key
         the newest by ``newest`` stays. ``touch`` names a column set to the write
-        time. ``buckets`` may be given to check what the caller believes.
+        time. ``buckets`` may be given to check what the caller believes. ``notes``
+        are entries of the manifest that are committed with the rows.
         """
         manifest = self.files.manifest()
         key, held = manifest["key"], manifest["buckets"]
@@ -170,7 +172,7 @@ class KeyedTable:
         layers = {b: list(x) for b, x in manifest["layers"].items()}
         for b in touched:
             layers.setdefault(str(b), []).append(layer)
-        after = manifest | {"version": manifest["version"] + 1, "layers": layers}
+        after = manifest | (notes or {}) | {"version": manifest["version"] + 1, "layers": layers}
         long = [int(b) for b, x in layers.items() if len(x) > MOST_LAYERS]
         if long:
             after = self._merged(after, long)
