@@ -1,17 +1,20 @@
 """Theme rules, category mapping and hierarchy.
 
-Rule tables are fixed lists (see ``sources.reference_data``) inlined into
-expressions, so rules cost no join and no Python. They are evaluated on theme
+Rule tables are fixed lists (see ``sources.reference_data``) and cost no join.
+Keywords are found by one automaton for all rules. Names are looked up on theme
 totals, one row per distinct theme, wherever a theme name is enough.
 """
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scores
-from ..functions.automaton import found_groups
-from ..functions.matching import contains_any, let, sql_text, word_array
+from ..functions.automaton import Automaton, found_groups
+from ..functions.matching import contains_any, let, word_array
 from ..functions.rounding import rounded_ratio
 from ..sources import reference_data as ref
 from .lookup import lookup_join, total_of
@@ -106,13 +109,57 @@ def reclassification_report(before: DataFrame, after: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- mapping
 
 
-def _mapped(main: Column, sub: Column, confidence: float, source: str) -> Column:
-    return F.struct(
-        main.alias("main_category"),
-        sub.alias("sub_category"),
-        F.lit(confidence).alias("confidence"),
-        F.lit(source).alias("source"),
-    )
+class _NameRules:
+    """The outcome of every theme name as a number.
+
+    Patterns contained in a name come from one automaton over the names, and the
+    patterns that contain a name from a table of all their substrings, each with
+    its first pattern. So a name costs one pass over its bytes and two look-ups,
+    however many patterns there are.
+    """
+
+    def __init__(self):
+        patterns = ref.theme_patterns()
+        families = ref.THEME_KEYWORD_FAMILIES
+        self.exact, self.within = {}, {}
+        words = []
+        for i, (pattern, _, _) in enumerate(patterns):
+            self.exact.setdefault(pattern, i)
+            words.append(() if pattern == ref.CATCH_ALL else (pattern,))
+            for a in range(len(pattern) + 1 if words[-1] else 0):
+                for b in range(a, len(pattern) + 1):
+                    self.within.setdefault(pattern[a:b], i)
+        self.patterns = len(patterns)
+        self.none = 2 * len(patterns) + len(families)
+        self.machine = Automaton([*words, *[f for _, _, f in families]])
+        found = [(m, s) for _, m, s in patterns]
+        #: (main, sub, confidence, source) by number; the last two are for unknown and missing names.
+        self.outcomes = [
+            *[(m, s, 0.95, "pattern") for m, s in found], *[(m, s, 0.75, "pattern") for m, s in found],
+            *[(m, s, 0.8, "pattern") for m, s, _ in families],
+            ("Other", "Uncategorized", 0.1, "fallback"), ("Other", "Unknown", 0.0, "fallback"),
+        ]
+
+    def number(self, name: str, hits: list[int]) -> int:
+        """Exact pattern, else first pattern that contains the name or is in it, else first family."""
+        if name in self.exact:
+            return self.exact[name]
+        near = [self.within[name]] if name in self.within else []
+        near += [i for i in hits[:1] if i < self.patterns]
+        if near:
+            return self.patterns + min(near)
+        return self.patterns + hits[0] if hits else self.none
+
+    def numbers(self, names: pa.Array) -> pa.Array:
+        hits = self.machine.numbers(names).to_pylist()
+        return pa.array(
+            [None if n is None else self.number(n, h) for n, h in zip(names.to_pylist(), hits)], pa.int32()
+        )
+
+
+@functools.cache
+def _name_rules() -> _NameRules:
+    return _NameRules()
 
 
 def theme_mapping(theme: Column) -> Column:
@@ -120,50 +167,25 @@ def theme_mapping(theme: Column) -> Column:
 
     Exact pattern 0.95; else the first pattern that contains the name or is
     contained in it 0.75; else a keyword family 0.8; else uncategorised 0.1.
-    A missing name maps to Other / Unknown with confidence 0.
+    A missing name maps to Other / Unknown with confidence 0. Not for use inside
+    a function of array elements.
     """
-    patterns = F.expr(
-        "array("
-        + ", ".join(
-            f"named_struct('pattern', {sql_text(p)}, 'main', {sql_text(m)}, 'sub', {sql_text(s)})"
-            for p, m, s in ref.theme_patterns()
-        )
-        + ")"
-    )
+    rules = _name_rules()
 
-    def mapped(name: Column) -> Column:
-        exact = F.filter(patterns, lambda r: r["pattern"] == name)
-        partial = F.filter(
-            patterns,
-            lambda r: (r["pattern"] != ref.CATCH_ALL)
-            & (name.contains(r["pattern"]) | r["pattern"].contains(name)),
-        )
-
-        def first(hits: Column, confidence: float) -> Column:
-            return _mapped(hits[0]["main"], hits[0]["sub"], confidence, "pattern")
-
-        out = F.when(
-            F.exists(patterns, lambda r: r["pattern"] == name), let(exact, lambda h: first(h, 0.95))
-        )
-        rest = let(
-            partial,
-            lambda h: F.when(F.size(h) > 0, first(h, 0.75)).otherwise(_by_family(name)),
-        )
-        return out.otherwise(rest)
+    @F.arrow_udf("int")
+    def run(names: pa.Array) -> pa.Array:
+        return rules.numbers(names)
 
-    return F.when(
-        theme.isNull() | (theme == ""),
-        _mapped(F.lit("Other"), F.lit("Unknown"), 0.0, "fallback"),
-    ).otherwise(let(F.trim(F.lower(theme)), mapped))
-
-
-def _by_family(name: Column) -> Column:
-    out = None
-    for main, sub, words in ref.THEME_KEYWORD_FAMILIES:
-        cond = contains_any(name, words)
-        value = _mapped(F.lit(main), F.lit(sub), 0.8, "pattern")
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out.otherwise(_mapped(F.lit("Other"), F.lit("Uncategorized"), 0.1, "fallback"))
+    missing = theme.isNull() | (theme == "")
+    at = F.coalesce(F.when(~missing, run(F.trim(F.lower(theme)))), F.lit(rules.none + 1))
+    main, sub, confidence, source = zip(*rules.outcomes)
+    numbers = F.array(*[F.lit(c) for c in confidence])
+    return F.struct(
+        F.get(word_array(main), at).alias("main_category"),
+        F.get(word_array(sub), at).alias("sub_category"),
+        F.get(numbers, at).alias("confidence"),
+        F.get(word_array(source), at).alias("source"),
+    )
 
 
 def category_colour(main: Column) -> Column:
