@@ -34,8 +34,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .storage import written
 
@@ -209,15 +210,19 @@ def classes(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def representatives(documents: DataFrame) -> DataFrame:
-    """One document of each class, in its own columns: the one that names it.
+    """One document of each class, in its own columns.
 
-    Of rows that share that id one stays. Of a class without any id, one row
-    with the least hash of its text stays.
+    It is the one with the least id, and of rows with that id the one with the
+    least hash of its text; a row without an id only where no row of the class
+    has one. Of rows that share id and text the least by all columns that can be
+    compared stays.
     """
     found = written(classes(documents), "classes")
-    ids = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = documents.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = found.filter("component_id is null").groupBy("class_fp").agg(F.min("text_key").alias("_text_key"))
-    nameless = documents.filter("doc_id is null").withColumn("_text_key", F.xxhash64("text"))
-    nameless = nameless.join(keys.select("_text_key").distinct(), "_text_key", "left_semi").dropDuplicates(["_text_key"])
-    return named.select(documents.columns).unionByName(nameless.select(documents.columns))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    chosen = found.groupBy("class_fp").agg(F.min(key).alias("key")).select(F.col("key.doc_id").alias("_id"), F.col("key.text_key").alias("_key"))
+    keyed = documents.withColumns({"_id": F.col("doc_id").cast("bigint"), "_key": F.xxhash64("text")})
+    same = keyed["_id"].eqNullSafe(chosen["_id"]) & (keyed["_key"] == chosen["_key"])
+    rows = keyed.join(chosen, same, "left_semi")
+    rest = [f.name for f in documents.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    first = Window.partitionBy("_id", "_key").orderBy(*rest)
+    return rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(documents.columns)
