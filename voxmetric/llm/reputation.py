@@ -12,7 +12,8 @@ bad rate's posterior, the mean less ``Z`` deviations, passes ``LIMIT``.
 
 The suffix is the last label of a host, the registered domain the last two. All
 work is DataFrame functions: three small aggregations with partial sums, so a hot
-host is one row per task, and one join by host, which splits if skewed.
+host is one row per task. The pages of hot hosts are judged where they are read,
+those of the others after one join by host.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
 is judged by the posterior of the empty host; a host without labels has its
@@ -37,6 +38,7 @@ RULES = (
     ("net", "/", "block"),
 )
 Z = 1.645
+HOT = 1000
 LIMIT = 0.5
 # Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
@@ -126,7 +128,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     labelled = urls.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id")
     of_host, of_domain, of_suffix, of_all = posteriors(labelled)
-    known = urls.select("host").distinct()
+    known = urls.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     known = known.withColumn("domain", _labels(F.col("host"), 2)).withColumn("suffix", _labels(F.col("host"), 1))
 
     def named(df: DataFrame, level: str) -> DataFrame:
@@ -139,9 +141,15 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
         .withColumns({f"{x}_all": of_all.select(x).scalar() for x in ("mean", "bound")})
     )
     level = ("host", "domain", "suffix", "all")
-    known = known.select("host", *[F.coalesce(*[f"{x}_{y}" for y in level]).alias(f"posterior_{x}") for x in ("mean", "bound")])
+    known = known.select("host", "n_pages", *[F.coalesce(*[f"{x}_{y}" for y in level]).alias(f"posterior_{x}") for x in ("mean", "bound")])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_rate = F.when(F.col("posterior_bound") > limit, "block").otherwise("allow")
-    return urls.join(known, "host").select(
+    # Hosts with more than a share of 1 / HOT of all pages are fewer than HOT, so
+    # they can be broadcast; the pages of the others spread over the join's tasks.
+    known = written(known, "judged")
+    hot = F.col("n_pages") * HOT > known.agg(F.sum("n_pages")).scalar()
+    often, rare = F.broadcast(known.filter(hot)), known.filter(~hot)
+    rows = urls.join(often, "host").unionByName(urls.join(often.select("host"), "host", "left_anti").join(rare, "host"))
+    return rows.select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_rate).alias("verdict"), "posterior_mean", "posterior_bound"
     )
