@@ -93,9 +93,12 @@ def assignments(
         "response_id", *extra, F.transform("themes", name).alias("named")
     ).select("response_id", *extra, theme_hits(F.col("named")).alias("packed"))
     keep = [c for c in (*RESPONSE_COLUMNS, "nps_explanation") if c in responses.columns]
-    joined = packed.join(
-        responses.select(F.col("id").alias("response_id"), *keep), "response_id"
-    )
+    side = responses.select(F.col("id").alias("response_id"), *keep)
+    # Both sides are facts and keep their shuffle. Named as a merge join, the join
+    # is not planned anew at run time, so a grand total over the same rows
+    # (``total_of``) finds the shuffled groups instead of building them again. The
+    # rows of one theme may be few: there the engine chooses.
+    joined = packed.join(side if theme is not None else side.hint("merge"), "response_id")
     out = joined.select("response_id", *keep, *extra, F.inline("packed"))
     return out if theme is None else out.filter(F.col("theme") == theme)
 
