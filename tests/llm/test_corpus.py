@@ -8,12 +8,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 import xxhash
 from helpers import clashing, documents, odd_rows, prose, rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxmetric.llm import covering, crf, packing, reputation, segments, substring, tallies
+from voxmetric.llm import covering, crf, packing, queries, reputation, segments, substring, tallies
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -385,6 +386,40 @@ def test_tallies_follow_every_batch(spark, tmp_path):
         kept.commit(0, spark.createDataFrame([], EVENT))
 
 
+def test_token_counts_are_those_of_the_tokenizers(spark):
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    rows = documents(spark, [*odd_rows(), (13, "Tier " * 4000 + "x" * 5000), (14, "<|endoftext|> Ünder\u00a0the")])
+    got = clashing(rows).select("text", tallies.token_count("text", WORD_BPE), tallies.token_count("text", pieces)).collect()
+    words, model = Tokenizer.from_file(WORD_BPE), sentencepiece.SentencePieceProcessor(model_file=pieces)
+    assert len(got) == rows.count()
+    for text, n_words, n_pieces in got:
+        assert n_words == len(words.encode(text or "", add_special_tokens=False).ids)
+        assert n_pieces == len(model.encode(text or ""))
+    assert rows.limit(0).select(tallies.token_count("text", pieces)).count() == 0
+
+
+def test_query_of_tallies_against_a_plain_count(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, None if i == 7 else prose(i, rng.randint(0, 40)), rng.choice(["en", "de", None]), rng.choice("ab")) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, rng.randrange(2), int(rng.random() < 0.2)) for i in range(0, 60, 2)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    words, model = Tokenizer.from_file(WORD_BPE), sentencepiece.SentencePieceProcessor(model_file=pieces)
+    judged = {i: rest for i, *rest in labels}
+    want = collections.defaultdict(lambda: [0, 0, 0])
+    for i, text, lang, source in rows:
+        quality, toxic = judged.get(i, (1, 0))
+        if toxic:
+            continue
+        bad, text = quality == 0, text or ""
+        n = len(model.encode(text)) if bad else len(words.encode(text, add_special_tokens=False).ids)
+        t = want[source, lang, "piece_bpe_32k" if bad else "word_bpe_49k"]
+        t[0], t[1], t[2] = t[0] + 1, t[1] + n, t[2] + len(text)
+    got = {tuple(r)[:3]: list(r)[3:] for r in queries.op3_token_tallies(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) > 8
+
+
 def test_a_failed_commit_is_not_seen(spark, tmp_path, monkeypatch):
     kept = tallies.Tallies(spark, str(tmp_path / "t"))
     first = spark.createDataFrame([("insert", 0, 1, "s", "x", "v", 5, 9), ("insert", None, None, "s", "x", "v", 5, 9)], EVENT)

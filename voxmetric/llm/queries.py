@@ -12,7 +12,6 @@ from .twins import SQL  # noqa: F401
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-_WORDS, _MARKS = r"[^\x20\x09-\x0D]+", r"[.,]"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,21 +28,20 @@ def op2_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted; then toxic ones deleted and bad ones counted anew by
-    another tokenizer version, in a batch that is committed twice."""
-    text = F.coalesce("text", F.lit(""))
-    words = F.regexp_count(text, F.lit(_WORDS))
-    counted = _read(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.length(text).alias("n_chars"), words.alias("words"),
-        F.regexp_count(text, F.lit(_MARKS)).alias("marks"), F.lit(0).alias("seq"),
-    )
-    kept = tallies.Tallies(spark, scratch(spark, "tallies"))
-    kept.commit(1, counted.withColumns({"op": F.lit("insert"), "version": F.lit("words-1"), "n_tokens": F.col("words")}))
-    labels = _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    second = counted.join(labels, "doc_id").filter("toxic = 1 or quality = 0")
-    second = second.withColumns(
-        {"op": F.expr("if(toxic = 1, 'delete', 'revise')"), "version": F.lit("words-2"), "n_tokens": F.col("words") + F.col("marks")}
+    """All documents inserted with counts of one tokenizer; then toxic ones deleted and
+    bad ones counted anew by another one, in a batch that is committed twice."""
+    documents = _read(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", "text", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.lit(0).alias("seq")
     )
+
+    def counted(rows: DataFrame, op: str, path: str) -> DataFrame:
+        version = F.lit(path.rpartition("/")[2].partition(".")[0])
+        return rows.withColumns({"op": F.expr(op), "version": version, "n_tokens": tallies.token_count("text", path)})
+
+    kept = tallies.Tallies(spark, scratch(spark, "tallies"))
+    kept.commit(1, counted(documents, "'insert'", WORD_BPE))
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").filter("toxic = 1 or quality = 0")
+    second = counted(documents.join(labels, "doc_id"), "if(toxic = 1, 'delete', 'revise')", PIECES)
     for _ in range(2):
         kept.commit(2, second)
     return kept.totals()

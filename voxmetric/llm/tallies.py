@@ -13,7 +13,11 @@ there, which is written last of all; a commit of a batch that counts does
 nothing. Batches are committed in order of their numbers; a smaller one than the
 last committed is refused unless it counts already.
 
-Defined cases: of several events of a document in one batch the one with the
+``token_count`` gives the tokens of whole texts under a public tokenizer file, the
+version of a count being the file's name. A worker reads a file once; texts reach
+it in batches of bounded bytes, and no shuffle is needed.
+
+Defined cases: a null or empty text has no tokens; of several events of a document in one batch the one with the
 largest ``seq`` holds, a delete before a revision before an insert where they
 tie, then the larger counts; an insert of a document that is there revises it;
 a revision of one that is not there inserts it; a delete of one that is not
@@ -24,17 +28,47 @@ commits an empty delta; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import _ids
+
 KEYS = ("source", "lang", "version")
 COUNTS = ("n_tokens", "n_chars")
 _ROW = "doc_id bigint, source string, lang string, version string, n_tokens bigint, n_chars bigint, sign int, batch bigint"
 _DELTA = "source string, lang string, version string, n_docs bigint, n_tokens bigint, n_chars bigint, batch bigint"
 
 
+@cache
+def _counter(path: str) -> Callable[[str], int]:
+    """Tokens of a text: of a piece model (``.model``), or of a vocabulary of words (``.json``)."""
+    if path.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        encode = SentencePieceProcessor(model_file=path).encode
+        return lambda text: len(encode(text))
+    ids_of = _ids(path).__getitem__
+    # Four bytes an id.
+    return lambda text: sum(map(len, map(ids_of, text.encode().split()))) // 4
+
+
+def token_count(text: str | Column, path: str) -> Column:
+    """The number of tokens of a text column, without special tokens at its ends."""
+
+    @F.pandas_udf("bigint")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = _counter(path)
+        for part in texts:
+            yield pd.Series([of(t) if t else 0 for t in part], dtype="int64")
+
+    return count(text)
+
+
 @dataclass
 class Tallies:
     """Signed rows, deltas and markers of committed batches below ``path``."""

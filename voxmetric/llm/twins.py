@@ -87,18 +87,6 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM texts LEFT JOIN kept USING (rid)
 """
 
-OP3 = rf"""
-WITH counted AS (
-  SELECT d.doc_id, source, lang, coalesce(quality = 0, false) AS bad,
-         len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS words,
-         len(regexp_extract_all(coalesce(text, ''), '[.,]'))::BIGINT AS marks, length(coalesce(text, ''))::BIGINT AS chars
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
-  WHERE coalesce(toxic, 0) <> 1)
-SELECT source, lang, CASE WHEN bad THEN 'words-2' ELSE 'words-1' END AS version, count(*)::BIGINT AS n_docs,
-       sum(CASE WHEN bad THEN words + marks ELSE words END)::BIGINT AS n_tokens, sum(chars)::BIGINT AS n_chars
-FROM counted GROUP BY ALL
-"""
-
 OP7 = """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS x FROM embeddings
@@ -210,6 +198,6 @@ FROM near_{_ROUNDS} JOIN named USING (k)
 """
 
 SQL = {
-    "op1_repetition": OP1, "op3_token_tallies": OP3, "op7_segment_top_k": OP7, "op8_substring_dedup": OP8,
+    "op1_repetition": OP1, "op7_segment_top_k": OP7, "op8_substring_dedup": OP8,
     "op10_host_reputation": OP10, "op12_laesa_clusters": OP12, "op13_infill": OP13,
 }
