@@ -382,10 +382,46 @@ def test_tallies_follow_every_batch(spark, tmp_path):
             t[0], t[1], t[2] = t[0] + 1, t[1] + tokens, t[2] + chars
         got = {tuple(r)[:3]: list(r)[3:] for r in kept.totals().collect()}
         assert got == want
+        if batch == 3:
+            kept.compact()
+            kept.compact()
+            kept.vacuum()
+            assert {tuple(r)[:3]: list(r)[3:] for r in kept.totals().collect()} == want
+            assert kept._listed("rows") == [] and kept._listed("base") == [3]
+    assert sorted(r.doc_id for r in kept.current().collect()) == sorted(state)
+    assert kept._listed("rows") == [4] and kept._listed("events") == []
+    kept.commit(2, spark.createDataFrame([("insert", 0, 99, "s", "x", "v", 5, 9)], EVENT))
+    assert 99 not in {r.doc_id for r in kept.current().collect()}
     with pytest.raises(ValueError):
         kept.commit(0, spark.createDataFrame([], EVENT))
 
 
+def test_a_commit_reads_the_buckets_it_touches(spark, tmp_path, monkeypatch):
+    kept = tallies.Tallies(spark, str(tmp_path / "t"), buckets=8)
+    kept.commit(1, spark.createDataFrame([("insert", 0, i, "s", "x", "v", i, 1) for i in range(200)], EVENT))
+    assert kept._listed("rows/batch=1") == list(range(8))
+    read, current = [], tallies.Tallies.current
+
+    def seen(self, batches=None, buckets=None):
+        found = current(self, batches, buckets)
+        read.append({r[0] for r in found.select("bucket").distinct().collect()})
+        assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().executedPlan().toString() or len(buckets) != 1
+        return found
+
+    monkeypatch.setattr(tallies.Tallies, "current", seen)
+    # The number of buckets of the first batch holds.
+    again = tallies.Tallies(spark, str(tmp_path / "t"), buckets=3)
+    again.commit(2, spark.createDataFrame([("revise", 0, 7, "s", "x", "v", 100, 1)], EVENT))
+    assert len(read) == 1 and len(read[0]) == 1
+    assert [tuple(r) for r in again.totals().collect()] == [("s", "x", "v", 200, sum(range(200)) + 93, 200)]
+    # A base that was begun and has no marker is not read.
+    monkeypatch.setattr(tallies.Tallies, "current", current)
+    again._write("base", 2, again.current().limit(3).withColumn("sign", F.lit(1)))
+    assert again.current().count() == 200
+    again.compact()
+    assert again.current().count() == 200 and again._listed("compacted") == [2]
+
+
 def test_token_counts_are_those_of_the_tokenizers(spark):
     pieces = public_tokenizers.path("piece_bpe_32k.model")
     rows = documents(spark, [*odd_rows(), (13, "Tier " * 4000 + "x" * 5000), (14, "<|endoftext|> Ünder\u00a0the")])
