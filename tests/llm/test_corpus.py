@@ -14,7 +14,7 @@ from helpers import clashing, documents, odd_rows, prose, rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxmetric.llm import covering, crf, packing, queries, reputation, segments, substring, tallies
+from voxmetric.llm import covering, crf, packing, queries, reputation, segments, sieve, substring, tallies
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -456,6 +456,33 @@ def test_query_of_tallies_against_a_plain_count(spark, tmp_path):
     assert got == want and len(got) > 8
 
 
+def test_a_sieve_loses_no_id(spark):
+    ids = spark.range(0, 60_000, 20).withColumn("id", F.when(F.col("id") != 40, -F.col("id")))
+    rows = spark.range(-60_000, 60_000)
+    for max_bits in (1 << 26, 1 << 10):
+        passed = {r[0] for r in rows.filter(sieve.sieve(ids, "id", max_bits)("id")).collect()}
+        assert {-i for i in range(0, 60_000, 20) if i != 40} <= passed
+        assert len(passed) < 15_000 or max_bits == 1 << 10
+    assert rows.limit(1000).filter(sieve.sieve(ids.limit(0), "id")("id")).count() == 0
+    nulls = spark.createDataFrame([(None,)], "id bigint")
+    assert nulls.filter(sieve.sieve(ids, "id")("id")).count() == 1
+
+
+def test_texts_are_counted_before_the_join(spark, tmp_path, monkeypatch):
+    documents(spark, odd_rows()).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (4, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, commit = [], tallies.Tallies.commit
+
+    def keep(self, batch, events):
+        seen.append(events._jdf.queryExecution().optimizedPlan().toString())
+        commit(self, batch, events)
+
+    monkeypatch.setattr(tallies.Tallies, "commit", keep)
+    assert queries.op3_token_tallies(spark, str(tmp_path)).count() > 0
+    join, _, below = seen[1].partition("Join Inner")
+    assert "text" not in join and "ArrowEvalPython" not in join and "ArrowEvalPython" in below
+
+
 def test_a_failed_commit_is_not_seen(spark, tmp_path, monkeypatch):
     kept = tallies.Tallies(spark, str(tmp_path / "t"))
     first = spark.createDataFrame([("insert", 0, 1, "s", "x", "v", 5, 9), ("insert", None, None, "s", "x", "v", 5, 9)], EVENT)

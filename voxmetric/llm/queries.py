@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import covering, crf, crosspolytope, infill, packing, pivots, ppm, repetition, reputation, segments, substring, tallies, unigram
+from .sieve import sieve
 from .storage import scratch, small_batches
 from .twins import SQL  # noqa: F401
 
@@ -29,7 +30,10 @@ def op2_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted with counts of one tokenizer; then toxic ones deleted and
-    bad ones counted anew by another one, in a batch that is committed twice."""
+    bad ones counted anew by another one, in a batch that is committed twice.
+
+    Texts are counted where they are read; only ids and counts are joined to the labels.
+    """
     documents = _read(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", "text", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.lit(0).alias("seq")
     )
@@ -41,7 +45,9 @@ def op3_token_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = tallies.Tallies(spark, scratch(spark, "tallies"))
     kept.commit(1, counted(documents, "'insert'", WORD_BPE))
     labels = _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").filter("toxic = 1 or quality = 0")
-    second = counted(documents.join(labels, "doc_id"), "if(toxic = 1, 'delete', 'revise')", PIECES)
+    wanted = sieve(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id")
+    recounted = counted(documents.filter(wanted(F.col("doc_id").cast("bigint"))), "'revise'", PIECES).drop("text")
+    second = recounted.join(labels, "doc_id").withColumn("op", F.expr("if(toxic = 1, 'delete', op)"))
     for _ in range(2):
         kept.commit(2, second)
     return kept.totals()
