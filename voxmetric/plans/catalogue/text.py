@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ...operators import enrichment, similarity, text, themes, vector_index
+from ...operators import enrichment, similarity, text, themes, vector_cells, vector_index
 from ...session import scratch, staging_root
 from ...sources import reference_data as ref
 from .. import bindings
@@ -506,6 +506,11 @@ _EVERY_50TH = f"""select query_id, response_id, similarity, cast(rank as int) as
         row_number() over (partition by q.vec_id order by {_SIM} desc, e.vec_id) as rank
       from embeddings e, embeddings q where q.vec_id % 50 = 0 and e.vec_id <> q.vec_id) where rank <= {_K}"""
 
+add(
+    "similar_to_many_bounded", "VEC-2",
+    lambda t: _rounded(vector_cells.Cells(t.embeddings, WIDTH).search(t.embeddings.filter(_FOLDED), _K)),
+    _EVERY_50TH,
+)
 add("similar_index", "VEC-3", _index_search)
 add("similar_index_all", "VEC-3", _index_exact, _EVERY_50TH)
 add("similar_index_recall", "VEC-3", _index_recall, f"select count(*) as wanted, true as reached from ({_EVERY_50TH})")
