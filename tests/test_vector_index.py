@@ -84,3 +84,26 @@ def test_rows_without_direction_are_left_out(spark, index, tmp_path):
     assert [r.response_id for r in other.rows().collect()] == [4]
     assert other.search(odd, k=3, probes=12).count() == 0
     assert index.search(odd.filter(F.lit(False)), k=3, probes=12).count() == 0
+
+
+def test_full_depth_ships_no_pairs(spark, clustered, index, monkeypatch):
+    """Rows are compared in their lists; equal rows, repeated ids and small blocks included."""
+    monkeypatch.setattr(vector_index, "SHARD", 40)
+    monkeypatch.setattr(vector_index, "BLOCK", 3)
+    monkeypatch.setattr(vector_index, "_STEP", 16)
+    monkeypatch.setattr(vector_index.Index, "candidates", lambda *a: pytest.fail("pairs of ids are shipped"))
+    rows = embeddings(spark, clustered)
+    queries = rows.filter("response_id % 50 = 0")
+    cols = ["query_id", "response_id", "rank"]
+    exact = similarity.nearest_to_many(rows, queries, WIDTH, 7).select(cols).collect()
+    assert sorted(index.search(queries, k=7, probes=12, depth=900).select(cols).collect()) == sorted(exact)
+
+
+def test_equal_rows_go_to_the_smaller_ids(spark, clustered, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "_STEP", 7)
+    rows = embeddings(spark, np.repeat(clustered[:6], 31, axis=0))
+    made = vector_index.Index.create(rows, str(tmp_path / "i"), vector_index.fit(rows, WIDTH, lists=2, subspaces=4))
+    found = made.search(rows.filter("response_id % 31 = 4"), k=9, probes=2, depth=1 << 30)
+    for r in found.groupBy("query_id").agg(F.sort_array(F.collect_list("response_id")).alias("ids")).collect():
+        first = r.query_id - 4
+        assert r.ids == [i for i in range(first, first + 10) if i != r.query_id]
