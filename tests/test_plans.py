@@ -113,3 +113,14 @@ def test_each_file_has_its_own_separator_and_header(spark, tmp_path):
 
 def test_month_scores_have_the_rows_of_the_trend(t):
     assert sorted(map(tuple, trends.month_scores(t.responses).collect())) == [tuple(r) for r in trends.monthly_trend(t.responses).collect()]
+
+
+def test_answers_are_parsed_once_for_all_readers(spark, t):
+    """Answers that come in the session's partitions by response already, too."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(ENTRIES["reconcile_themes"].run(t))[1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Generate inline") == 1
+    assert plan.count("from_json") == 1
