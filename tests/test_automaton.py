@@ -58,3 +58,14 @@ def test_name_rules_against_a_chain_of_tests():
         a, b = sorted(rng.choices(range(len(word) + 1), k=2))
         names += [word[a:b], rng.choice("xyz ") + word[a:], word + rng.choice(known)[:3]]
     assert rules.numbers(pa.array(names)).to_pylist() == [by_hand(n) for n in names]
+
+
+def test_a_batch_is_worked_on_in_slices(monkeypatch):
+    monkeypatch.setattr(automaton, "SLICE", 100)
+    machine, seen, hits = Automaton([["ab"], ["z"]]), [], Automaton.hits
+    monkeypatch.setattr(Automaton, "hits", lambda self, texts: (seen.append(len("".join(t or "" for t in texts.to_pylist()))), hits(self, texts))[1])
+    texts = [("x" * (i % 40) + "ab", None, "", "z" * 130)[0 if i % 7 else i % 4] for i in range(200)]
+    want = [None if t is None else [i for i, w in enumerate(("ab", "z")) if w in t] for t in texts]
+    assert machine.numbers(pa.array(texts, pa.string()).slice(3)).to_pylist() == want[3:]
+    assert len(seen) > 20 and max(seen) <= 100 + 130
+    assert machine.numbers(pa.array([], pa.string())).to_pylist() == []
