@@ -52,6 +52,8 @@ _BATCH = 256
 # Words and n-grams that a worker remembers: some 40 MB.
 _REMEMBERED = 100_000
 _REMEMBERED_GRAMS = 50_000
+# New words whose potentials are summed together.
+_TOGETHER = 4096
 _OUTER = ".,;:!?()[]{}\"'|*&%$#-"
 
 
@@ -104,12 +106,19 @@ class Model:
             self._kept = _Potentials(self)
         return self._kept
 
-    def potential(self, letters: str) -> np.ndarray:
-        """Score of each language for a word of these letters."""
-        at = _features(letters)
-        score = self.weights[at].sum(axis=0) if at else np.zeros(len(self.languages), np.float32)
-        odds = self.lexicon.get(letters) if at else None
-        return score if odds is None else score + odds * self.lexicon_weight
+    def potential(self, words: list[str]) -> np.ndarray:
+        """Score of each language for words of these letters, a row each."""
+        found = list(map(_features, words))
+        size = np.array(list(map(len, found)))
+        at = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(size.sum()))
+        score = np.zeros((len(words), len(self.languages)), np.float32)
+        some = np.flatnonzero(size)
+        if len(some):
+            score[some] = np.add.reduceat(self.weights[at], (np.cumsum(size) - size)[some], axis=0)
+        known = [i for i in some.tolist() if words[i] in self.lexicon]
+        if known:
+            score[known] += np.array([self.lexicon[words[i]] for i in known]) * self.lexicon_weight
+        return score
 
 
 class _Potentials(dict):
@@ -128,15 +137,22 @@ class _Potentials(dict):
         at = self.of_letters.get(letters)
         if at is None:
             at = self.of_letters[letters] = len(self.of_letters)
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at, :-1] = self.model.potential(letters)
-            self.rows[at, -1] = bool(letters)
             self.new_letters.append(letters)
         self[word] = at
         self.new_words.append(word)
         return at
 
+    def fill(self) -> None:
+        """Rows of all words that are new in a batch, taken together."""
+        first = len(self.of_letters) - len(self.new_letters)
+        while len(self.rows) < len(self.of_letters):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for lo in range(0, len(self.new_letters), _TOGETHER):
+            part = self.new_letters[lo : lo + _TOGETHER]
+            rows = self.rows[first + lo : first + lo + len(part)]
+            rows[:, :-1] = self.model.potential(part)
+            rows[:, -1] = list(map(bool, part))
+
     def batch_done(self) -> None:
         """Forget what is new if enough is kept."""
         if len(self) > _REMEMBERED:
@@ -289,6 +305,7 @@ def label_words(potentials: _Potentials, texts: list[str | None]) -> Iterator[tu
             at += 1
         sizes = np.array([len(x) for x in lists])
         ids = np.fromiter(map(potentials.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=n)
+        potentials.fill()
         flat = potentials.rows[ids]
         potentials.batch_done()
         chains = -(-sizes // CHAIN)
