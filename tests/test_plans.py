@@ -124,3 +124,7 @@ def test_answers_are_parsed_once_for_all_readers(spark, t):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Generate inline") == 1
     assert plan.count("from_json") == 1
+
+
+def test_comments_are_searched_once_for_a_rule(t):
+    assert plan_of(ENTRIES["reclassify_direct"].run(t))[0].count("ArrowEvalPython") == 1
